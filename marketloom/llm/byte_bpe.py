@@ -97,7 +97,7 @@ def encode_piece(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 class Codec:
     """Encodes and decodes texts; ``pattern`` splits a text into pre-tokens, which are merged separately."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, limit: int = 400_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, limit: int = 600_000):
         import regex
 
         self.find = regex.compile(pattern).findall
@@ -105,7 +105,7 @@ class Codec:
         for token, rank in ranks.items():
             self.tokens[rank] = token
         self.pieces = BoundedCache(lambda piece: np.array(encode_piece(piece.encode(), ranks), "<u4").tobytes(), limit)
-        self.spaced = BoundedCache(lambda word: self.split_encode(" " + word), limit)
+        self.spaced = BoundedCache(lambda word: self.split_encode(" " + word), limit // 2)
 
     def split_encode(self, text: str) -> bytes:
         return b"".join(map(self.pieces.__getitem__, self.find(text)))

@@ -10,7 +10,9 @@ so it may be broadcast; documents find their place by their rank in their length
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import zlib
 from collections import defaultdict
 from typing import NamedTuple
@@ -20,37 +22,54 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_map, materialize, table
+from .common import BoundedCache, arrow_map, materialize, table
 
-MARK = b"<|endoftext|>"
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
 class Words(dict):
-    """Ids of words as packed little-endian 32-bit integers; a word never spans ASCII white space, which the tokenizer drops."""
+    """Ids of words as packed little-endian 32-bit integers; a word never spans ASCII white space, which the tokenizer drops.
 
-    def __init__(self, body: str, limit: int = 1_000_000):
+    Plain Latin words are lower-cased and split here as the file says, and only
+    new pieces go to the library's model; all others go through the library whole.
+    """
+
+    def __init__(self, body: str, limit: int = 600_000):
+        import regex
         from tokenizers import Tokenizer
 
         super().__init__()
-        self.plain, self.marked, self.limit = Tokenizer.from_str(body), Tokenizer.from_str(body), limit
-        self.plain.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.mark = self.marked.token_to_id(MARK.decode())
-
-    def learn(self, words: set[bytes]) -> None:
-        new = [w for w in words if w not in self]
-        if len(self) + len(new) > self.limit:
+        self.limit, self.whole = limit, Tokenizer.from_str(body)
+        self.whole.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.model = self.whole.model
+        config = json.loads(body)
+        steps = config["pre_tokenizer"]["pretokenizers"]
+        lowers = [x["type"] for x in config["normalizer"]["normalizers"]] == ["NFC", "Replace", "Lowercase"]
+        simple = lowers and [x["type"] for x in steps] == ["Split", "ByteLevel"] and steps[0]["invert"] and steps[0]["behavior"] == "Removed"
+        self.plain = re.compile("[!-~\xa1-\u017f]+").fullmatch if simple else lambda word: None  # stable under NFC
+        self.find = regex.compile(steps[0]["pattern"]["Regex"]).findall if simple else None
+        self.shown = byte_letters()
+        self.pieces = BoundedCache(self.piece, limit)
+
+    def piece(self, piece: str) -> bytes:
+        return np.array([t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.shown))], "<u4").tobytes()
+
+    def __missing__(self, word: bytes) -> bytes:
+        if len(self) >= self.limit:
             self.clear()
-            new = list(words)
-        for w in [w for w in new if MARK in w]:
-            self[w] = np.array(self.plain.encode(w.decode(), add_special_tokens=False).ids, "<u4").tobytes()
-        new = [w for w in new if MARK not in w]
-        for at in range(0, len(new), 2000):  # one call for many words, kept apart by a special token
-            part = new[at : at + 2000]
-            ids = np.array(self.marked.encode((MARK.join(part) + MARK).decode(), add_special_tokens=False).ids, "<u4")
-            ends = np.flatnonzero(ids == self.mark)
-            for w, a, b in zip(part, [0, *(ends[:-1] + 1).tolist()], ends.tolist(), strict=True):
-                self[w] = ids[a:b].tobytes()
+        text = word.decode()
+        if self.plain(text):
+            ids = b"".join(map(self.pieces.__getitem__, self.find(text.lower())))
+        else:
+            ids = np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        self[word] = ids
+        return ids
+
+
+def byte_letters() -> dict[int, int]:
+    """The printable character that stands for each byte in byte-level vocabularies: itself, or the next from 256 on."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    return {b: b if b in own else 256 + sum(x not in own for x in range(b)) for b in range(256)}
 
 
 _WORDS: dict[int, Words] = {}
@@ -72,13 +91,7 @@ def tokenized_pieces(docs: DataFrame, tokenizer_path: str, size: int) -> DataFra
         known = words_of(vocabulary.value)
         out: list[tuple] = []
         for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            words = (text or "").encode().split()
-            try:
-                packed = b"".join(map(known.__getitem__, words))
-            except KeyError:
-                known.learn(set(words))
-                packed = b"".join(map(known.__getitem__, words))
-            packed += b"\0\0\0\0"
+            packed = b"".join(map(known.__getitem__, (text or "").encode().split())) + b"\0\0\0\0"
             for piece, at in enumerate(range(0, len(packed), 4 * size)):
                 body = packed[at : at + 4 * size]
                 out.append((doc_id, piece, at // 4, len(body) // 4, zlib.crc32(body)))
