@@ -146,7 +146,8 @@ def exact_dedup(incoming: DataFrame, snapshot: DataFrame, per_bucket: int = 100_
     ids = pairs.select("digest", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("new_id").alias("doc_id")), F.struct(F.lit(1).alias("side"), F.col("old_id").alias("doc_id")))).alias("x")).select("digest", "x.side", "x.doc_id")
     lower = F.translate(F.coalesce("text", F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     texts = incoming.select("doc_id", "text", F.lit(0).alias("side")).unionByName(snapshot.select("doc_id", "text", F.lit(1).alias("side")))
-    checked = ids.hint("merge").join(texts, ["doc_id", "side"])  # one plan at every size.select("digest", lower.alias("body")).where(F.sha2("body", 256) == F.lower(F.hex("digest")))
+    # a merge join, so that the plan is one at every size
+    checked = ids.hint("merge").join(texts, ["doc_id", "side"]).select("digest", lower.alias("body")).where(F.sha2("body", 256) == F.lower(F.hex("digest")))
     if checked.groupBy("digest").agg((F.min("body") != F.max("body")).alias("differs")).where("differs").limit(1).count():
         raise ValueError("two texts of one SHA-256 digest differ")
     news = screened.select("digest", "n_bytes", "keep_id", "rows")
