@@ -261,7 +261,7 @@ def drawdown_curve(spark, sf):
     return metrics.drawdown_curve(_curve(spark, sf), "run_id").drop("run_id")
 
 
-@query(f"{_DD}, s AS (SELECT count(*) AS n, arg_max(equity, date) / arg_min(equity, date) AS ratio, min(drawdown) AS dd, avg(daily) AS mean, stddev_samp(daily) AS std, sqrt(avg(least(daily, 0) ** 2)) AS semi FROM d) SELECT round(ratio - 1, 6) AS total_return, round(ratio ** (365e0 / (n - 1)) - 1, 6) AS cagr, round(dd, 6) AS max_drawdown, round(mean / std * sqrt(365), 6) AS sharpe, round(mean / semi * sqrt(365), 6) AS sortino, round((ratio ** (365e0 / (n - 1)) - 1) / abs(dd), 6) AS calmar FROM s")
+@query(f"{_DD}, s AS (SELECT count(*) AS n, arg_max(equity, date) / arg_min(equity, date) AS ratio, min(drawdown) AS dd, avg(daily) AS mean, stddev_samp(daily) AS std, sqrt(avg(least(daily, 0) ** 2)) AS down FROM d) SELECT round(ratio - 1, 6) AS total_return, round(ratio ** (365e0 / (n - 1)) - 1, 6) AS cagr, round(dd, 6) AS max_drawdown, round(mean / std * sqrt(365), 6) AS sharpe, round(mean / down * sqrt(365), 6) AS sortino, round((ratio ** (365e0 / (n - 1)) - 1) / abs(dd), 6) AS calmar FROM s")
 def equity_metrics(spark, sf):
     return rounded(metrics.summarize(_curve(spark, sf), "run_id").drop("run_id"), "total_return", "cagr", "max_drawdown", "sharpe", "sortino", "calmar")
 
