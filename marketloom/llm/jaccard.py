@@ -5,10 +5,12 @@ document pivots would replicate everything everywhere. So the first pivots are
 one-shingle sets {s}: a document is at distance 1 - 1/n of those it holds and 1 of
 all others. A document enters the regions of the rarest shingles of its prefix,
 enough of them that two linked documents share a region. Inside regions, distances
-are telling, and document pivots take over: members go to the Voronoi cell of the
-nearest pivot, and those not yet known to hang together with the region's largest
-component also to every cell within the window of twice the radius, as the triangle
-inequality demands; cells are joined recursively, small ones exactly in one task.
+are telling, and document pivots take over. Regions that hang together in a cluster
+of bounded size are joined as one, in one task, pivot by pivot. In larger ones
+members go to the Voronoi cell of the nearest pivot, and those not yet known to
+hang together with the region's largest component also to every cell within the
+window of twice the radius, as the triangle inequality demands; cells are joined
+recursively, small ones exactly in one task.
 
 Distances below the radius are found on whole sets, so the links are exact; a
 shingle stands for its words by 64 bits.
@@ -28,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import BoundedCache, arrow_map, materialize, table
 
 #: Members of a region that one task joins, pivots of a larger one (at most 62), rounds of splitting.
-LEAF, PIVOTS, ROUNDS = 512, 16, 4
+LEAF, PIVOTS, ROUNDS = 4096, 16, 2
 #: Prefix shingles that one task counts.
 BLOCK = 1_500_000
 MEMBERS = "region string, rep long, n long, known boolean, tokens binary"
@@ -400,7 +402,14 @@ def ngram_jaccard_join(docs: DataFrame, width: int = 5, percent: int = 80, leaf:
     groups = materialize(sets.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n")), "groups")
     total = groups.agg(F.sum("n")).first()[0] or 0
     found = memberships(docs, total, width, percent)
-    wanted = found.select("key").distinct().join(groups, "key").select(F.col("rep").alias("doc_id"), "key", "n")
+    placed = materialize(found.select("region", "key").join(groups, "key"), "placed")
+    # regions that hang together make clusters; one of bounded size is joined whole, so that its sets are sent once
+    least = placed.groupBy("region").agg(F.min("rep").alias("a"))
+    clusters = components(placed.join(least, "region").where("a != rep").select("a", F.col("rep").alias("b")).distinct())
+    small = clusters.groupBy("component").agg(F.count("*").alias("size")).where(F.col("size") <= leaf)
+    whole_clusters = materialize(clusters.join(small, "component").select(F.col("id").alias("rep"), F.concat(F.lit("c"), "component").alias("region")), "clusters")
+    spread = placed.select("rep", F.col("region").cast("string").alias("region")).join(whole_clusters.select("rep"), "rep", "left_anti")
+    wanted = placed.select(F.col("rep").alias("doc_id"), "key", "n").distinct()
 
     def tokens(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows = []
@@ -413,8 +422,8 @@ def ngram_jaccard_join(docs: DataFrame, width: int = 5, percent: int = 80, leaf:
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["rep", "key", "n", "tokens"])
 
     texts = wanted.hint("merge").join(docs.select("doc_id", "text"), "doc_id").select("doc_id", "key", "n", "text")
-    whole = materialize(arrow_map(texts, tokens, "rep long, key binary, n long, tokens binary").dropDuplicates(["rep", "key"]), "whole")
-    members = found.select(F.col("region").cast("string").alias("region"), "key").join(whole, "key").select("region", "rep", "n", F.lit(False).alias("known"), "tokens")
+    whole = materialize(arrow_map(texts, tokens, "rep long, key binary, n long, tokens binary"), "whole")
+    members = whole_clusters.unionByName(spread).join(whole, "rep").select("region", "rep", "n", F.lit(False).alias("known"), "tokens")
     classes = components(region_links(members, percent, leaf))
     by_key = groups.join(classes, groups.rep == classes.id, "left").select("key", F.coalesce("component", "rep").alias("component"))
     joined = sets.hint("merge").join(by_key, "key", "left")
