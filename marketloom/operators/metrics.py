@@ -10,7 +10,7 @@ YEAR = 365.0
 
 def drawdown_curve(curves: DataFrame, *keys: str) -> DataFrame:
     w = Window.partitionBy(*keys).orderBy("date")
-    return curves.withColumn("drawdown", F.col("equity") / F.max("equity").over(w.rowsBetween(Window.unboundedPreceding, 0)) - 1).withColumn("daily", F.col("equity") / F.nullif(F.lag("equity").over(w), F.lit(0.0)) - 1)
+    return curves.withColumn("drawdown", F.try_divide("equity", F.max("equity").over(w.rowsBetween(Window.unboundedPreceding, 0))) - 1).withColumn("daily", F.try_divide("equity", F.lag("equity").over(w)) - 1)
 
 
 def summarize(curves: DataFrame, *keys: str) -> DataFrame:
