@@ -11,6 +11,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -67,3 +68,11 @@ class BoundedCache(dict):
             self.clear()
         value = self[key] = self.make(key)
         return value
+
+
+@lru_cache(maxsize=1)
+def word_digests() -> BoundedCache:
+    """64-bit digests of words, one memo for all operators of a worker."""
+    import xxhash
+
+    return BoundedCache(lambda word: xxhash.xxh3_64_digest(word), 250_000)

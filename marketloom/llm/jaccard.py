@@ -19,7 +19,6 @@ shingle stands for its words by 64 bits.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -27,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BoundedCache, arrow_map, materialize, table
+from .common import arrow_map, materialize, table, word_digests
 
 #: Members of a region that one task joins, pivots of a larger one (at most 62), rounds of splitting.
 LEAF, PIVOTS, ROUNDS = 4096, 16, 2
@@ -36,19 +35,12 @@ BLOCK = 1_500_000
 MEMBERS = "region string, rep long, n long, known boolean, tokens binary"
 
 
-@lru_cache(maxsize=1)
-def _numbers() -> BoundedCache:
-    import xxhash
-
-    return BoundedCache(lambda word: xxhash.xxh3_64_digest(word), 600_000)
-
-
 def shingles(text: str | None, width: int) -> np.ndarray:
     """The sorted distinct shingles of a whole text, A-Z lower-cased; with fewer words all of them make one; without words there are none."""
     words = (text or "").encode().lower().split()
     if not words:
         return np.zeros(0, np.uint64)
-    w = np.frombuffer(b"".join(map(_numbers().__getitem__, words)), "<u8")
+    w = np.frombuffer(b"".join(map(word_digests().__getitem__, words)), "<u8")
     k = min(width, len(w))
     h = np.full(len(w) - k + 1, np.uint64(k * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
     for i in range(k):

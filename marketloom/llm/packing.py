@@ -34,7 +34,7 @@ class Words(dict):
     new pieces go to the library's model; all others go through the library whole.
     """
 
-    def __init__(self, body: str, limit: int = 600_000):
+    def __init__(self, body: str, limit: int = 250_000):
         import regex
         from tokenizers import Tokenizer
 
@@ -116,7 +116,12 @@ class Segment(NamedTuple):
 
 
 def plan(counts: dict[int, int], size: int) -> tuple[list[Segment], int]:
-    """Segments that place every piece, and how many sequences they make.
+    """Segments that place every piece, and how many sequences they make: the best of plans whose sums have up to three, two or one lengths."""
+    return min((_plan(counts, size, most) for most in (3, 2, 1)), key=lambda p: p[1])
+
+
+def _plan(counts: dict[int, int], size: int, most_terms: int) -> tuple[list[Segment], int]:
+    """One plan, with sums of at most ``most_terms`` lengths.
 
     Largest length first: a piece opens sequences whose gap is looked up among
     the sums of one, two and three shorter lengths, with as many copies at once
@@ -166,9 +171,9 @@ def plan(counts: dict[int, int], size: int) -> tuple[list[Segment], int]:
         gap = size - first
         if open_[gap] and (gap != first or left[first] > 1):
             return first, gap
-        if sums[gap] and (pair := pair_for(gap, gap)):
+        if most_terms > 1 and sums[gap] and (pair := pair_for(gap, gap)):
             return first, *pair
-        for a in gap - 1 - np.flatnonzero(open_[gap - 1 : 0 : -1] & sums[1:gap]) if gap > 1 else ():
+        for a in gap - 1 - np.flatnonzero(open_[gap - 1 : 0 : -1] & sums[1:gap]) if most_terms > 2 and gap > 1 else ():
             a = int(a)
             if pair := pair_for(gap - a, a):
                 if times(found := (first, a, *pair)):

@@ -10,14 +10,13 @@ from __future__ import annotations
 
 import math
 import re
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BLANKS, BoundedCache, arrow_map, table
+from .common import BLANKS, arrow_map, table, word_digests
 
 #: Fixed values of the base rules.
 SYMBOLS = b"#*$%&|<>"
@@ -30,18 +29,11 @@ FEATURES = 12
 BASE = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, content_words long, kept boolean"
 
 
-@lru_cache(maxsize=1)
-def _numbers() -> BoundedCache:
-    import xxhash
-
-    return BoundedCache(lambda word: xxhash.xxh3_64_digest(word), 600_000)
-
-
 def n_repeat_words(words: list[bytes]) -> int:
     """Words that lie in a window of three words found twice or more in the text, the first included."""
     if len(words) < 4:
         return 0
-    w = np.frombuffer(b"".join(map(_numbers().__getitem__, words)), "<u8")
+    w = np.frombuffer(b"".join(map(word_digests().__getitem__, words)), "<u8")
     h = (w[:-2] * np.uint64(0x9E3779B97F4A7C15)) ^ ((w[1:-1] << np.uint64(21) | w[1:-1] >> np.uint64(43)) * np.uint64(0xC2B2AE3D27D4EB4F)) ^ ((w[2:] << np.uint64(42) | w[2:] >> np.uint64(22)) * np.uint64(0x165667B19E3779F9))
     order = np.argsort(h, kind="stable")
     same = h[order][1:] == h[order][:-1]

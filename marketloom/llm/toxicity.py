@@ -59,7 +59,7 @@ class Windows:
             d = len(ordinary.compress(window)) - len(toxic.compress(window))
             return bytes([max(-100, min(100, d)) + 100, min(255, len(word) + 2)])
 
-        self.pairs = BoundedCache(pair, 600_000)
+        self.pairs = BoundedCache(pair, 300_000)
 
     def figures(self, text: str | None) -> list[float]:
         """Largest difference, largest share of a window saved, sum of the three largest, windows saved by half and by 3 bytes (logs), and one for the bias."""
