@@ -17,15 +17,21 @@ def spread_of_returns(days: int) -> Column:
     """Sample deviation of the returns between prints that both lie in the last ``days`` days; null with fewer than two returns.
 
     The first print of the frame has no return, since its base lies outside, so
-    the frame's prints are gathered (at most one a day) and paired there.
+    the frame's prints are gathered (at most one a day) and folded in one pass
+    that carries the last print, the number of returns, their mean and their
+    squared deviations.
     """
     seen = F.collect_list("market").over(by_days(1 - days, 0))
-    now, before = F.slice(seen, F.lit(2), F.greatest(F.size(seen) - 1, F.lit(0))), F.slice(seen, F.lit(1), F.greatest(F.size(seen) - 1, F.lit(0)))
-    returns = F.zip_with(now, before, lambda a, b: a / b - 1)
-    n = F.size(returns)
-    total = lambda x: F.aggregate(x, F.lit(0.0), lambda a, b: a + b)
-    mean = total(returns) / n
-    return F.when(n > 1, F.sqrt(total(F.transform(returns, lambda r: (r - mean) * (r - mean))) / (n - 1)))
+    begin = F.struct(F.lit(None).cast("double").alias("last"), F.lit(0.0).alias("n"), F.lit(0.0).alias("mean"), F.lit(0.0).alias("squares"))
+
+    def step(acc: Column, price: Column) -> Column:
+        off = price / acc["last"] - 1 - acc["mean"]  # null at the first print
+        n = acc["n"] + F.when(acc["last"].isNull(), 0.0).otherwise(1.0)
+        shift = F.coalesce(off / n, F.lit(0.0))
+        squares = acc["squares"] + F.coalesce(off * (off - off / n), F.lit(0.0))
+        return F.struct(price.alias("last"), n.alias("n"), (acc["mean"] + shift).alias("mean"), squares.alias("squares"))
+
+    return F.aggregate(seen, begin, step, lambda acc: F.when(acc["n"] > 1, F.sqrt(acc["squares"] / (acc["n"] - 1))))
 
 
 def features_v1(prices: DataFrame, products: DataFrame) -> DataFrame:
