@@ -34,28 +34,31 @@ def spread_of_returns(days: int) -> Column:
     return F.aggregate(seen, begin, step, lambda acc: F.when(acc["n"] > 1, F.sqrt(acc["squares"] / (acc["n"] - 1))))
 
 
-def features_v1(prices: DataFrame, products: DataFrame) -> DataFrame:
+def _with_v1(prices: DataFrame, products: DataFrame) -> DataFrame:
+    """All columns of the panel and the first feature set, in one sort by asset and day."""
     out = prices
     for days in (7, 30, 90):
         out = out.withColumn(f"ret_{days}d", F.col("market") / last_at("market", days) - 1)
     out = out.withColumn("vol_30d", spread_of_returns(30)).withColumn("dip_90d", 1 - F.col("market") / F.max("market").over(by_days(-89, 0)))
     meta = products.select("product_id", (F.col("kind") == "sealed").cast("double").alias("is_sealed"), "released_on")
     out = out.join(F.broadcast(meta), "product_id", "left")  # the catalogue: one row a product
-    return out.withColumn("log_price", F.ln("market")).withColumn("days_since_release", F.datediff("date", "released_on").cast("double")).select("date", *ASSET, "market", *V1)
+    return out.withColumn("log_price", F.ln("market")).withColumn("days_since_release", F.datediff("date", "released_on").cast("double"))
+
+
+def features_v1(prices: DataFrame, products: DataFrame) -> DataFrame:
+    return _with_v1(prices, products).select("date", *ASSET, "market", *V1)
 
 
 def features_v2(prices: DataFrame, products: DataFrame) -> DataFrame:
-    base = features_v1(prices, products)
-    own = prices.select(
-        "date", *ASSET, "mid", "low",
-        ((F.col("market") - F.col("low")) / F.col("market")).alias("spread_frac"),
-        ((F.col("market") - F.col("mid")) / F.col("market")).alias("mid_gap"),
-        F.avg((F.col("market") - F.col("low")) / F.col("market")).over(by_days(-29, 0)).alias("spread_30d_mean"),
-        (1 - F.col("market") / F.max("market").over(by_days(-179, 0))).alias("drawdown_180d"),
-        spread_of_returns(7).alias("vol_7d"),
-        F.count("*").over(by_days(None, 0)).cast("double").alias("days_priced"),
-    )
-    both = base.join(own, ["date", *ASSET])
+    spread = (F.col("market") - F.col("low")) / F.col("market")
+    both = _with_v1(prices, products).withColumns({
+        "spread_frac": spread,
+        "mid_gap": (F.col("market") - F.col("mid")) / F.col("market"),
+        "spread_30d_mean": F.avg(spread).over(by_days(-29, 0)),
+        "drawdown_180d": 1 - F.col("market") / F.max("market").over(by_days(-179, 0)),
+        "vol_7d": spread_of_returns(7),
+        "days_priced": F.count("*").over(by_days(None, 0)).cast("double"),
+    })
     ranked = Window.partitionBy("date", F.col("ret_30d").isNull()).orderBy("ret_30d")
     ties = F.count("*").over(Window.partitionBy("date", "ret_30d"))
     rank = (F.rank().over(ranked) + (ties - 1) / 2) / F.count("ret_30d").over(Window.partitionBy("date"))
