@@ -9,12 +9,14 @@ without quotes, each thread together, replies after what they answer.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, table
 
 MARKS = r"^([ \t]*>)+"
+#: Turns in one group of the search for origins; the latest origin of earlier blocks is carried over.
+BLOCK = 1024
 
 
 def passage(column: Column) -> Column:
@@ -46,12 +48,20 @@ def parse(messages: DataFrame) -> DataFrame:
 def links(parsed: DataFrame) -> DataFrame:
     """conv_id, turn, reply_to: for each message that quotes, the latest earlier message that itself says a line quoted at the lowest level found."""
     quotes = parsed.where(F.size("quoted") > 0).select("conv_id", "turn", F.explode("quoted").alias("q")).select("conv_id", "turn", "q.level", "q.hash")
-    wanted = quotes.select("conv_id", "hash").distinct()
-    said = parsed.select("conv_id", F.col("turn").alias("origin"), F.explode("said.hash").alias("hash"))
-    # only lines that someone quotes, and of a line said again and again only each turn once
-    origins = said.join(wanted, ["conv_id", "hash"], "left_semi").groupBy("conv_id", "hash").agg(F.sort_array(F.collect_set("origin")).alias("origins"))
-    latest = F.array_max(F.filter("origins", lambda x: x < F.col("turn")))
-    found = quotes.join(origins, ["conv_id", "hash"]).withColumn("origin", latest).where("origin IS NOT NULL")
+    key = ["conv_id", "hash", "block"]
+    # only lines that someone quotes; a line said twice in a turn counts once
+    said = parsed.where("conv_id IS NOT NULL AND turn IS NOT NULL").select("conv_id", "turn", F.explode("said.hash").alias("hash"))
+    said = said.join(quotes.select("conv_id", "hash").distinct(), ["conv_id", "hash"], "left_semi").distinct()
+    # one ordered pass a block of turns, so that a line said and quoted all over a long conversation is many small groups
+    both = quotes.where("turn IS NOT NULL").select("conv_id", "hash", "turn", "level", F.lit(None).cast("long").alias("origin"))
+    both = both.unionByName(said.select("conv_id", "hash", "turn", F.lit(None).cast("int").alias("level"), F.col("turn").cast("long").alias("origin")))
+    both = both.withColumn("block", F.floor(F.col("turn") / BLOCK))
+    # quotes come before what is said in the same turn: an origin is strictly earlier
+    inside = Window.partitionBy(*key).orderBy("turn", F.col("origin").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    told = both.withColumn("within", F.last("origin", ignorenulls=True).over(inside)).where("level IS NOT NULL")
+    earlier = Window.partitionBy("conv_id", "hash").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = both.groupBy(*key).agg(F.max("origin").alias("last")).withColumn("before", F.max("last").over(earlier)).drop("last")
+    found = told.join(blocks, key).withColumn("origin", F.coalesce("within", "before").cast(parsed.schema["turn"].dataType)).where("origin IS NOT NULL")
     best = found.groupBy("conv_id", "turn").agg(F.max(F.struct((-F.col("level")).alias("near"), "origin")).alias("best"))
     return best.select("conv_id", "turn", F.col("best.origin").alias("reply_to"))
 
