@@ -162,6 +162,25 @@ def test_chat(spark):
     assert chat.render(out).where("conv_id = 1").first()["chat"].startswith("<|user|>\nHello there")
 
 
+def test_chat_origins_across_blocks(spark, monkeypatch):
+    monkeypatch.setattr(chat, "BLOCK", 4)
+    rnd = random.Random(3)
+    rows = []
+    for conv in (1, 2):
+        for turn in range(40):
+            lines = [">" * rnd.choice([0, 0, 0, 1, 1, 2]) + " " + rnd.choice(["common", f"rare {rnd.randrange(25)}"]) for _ in range(rnd.randint(1, 3))]
+            rows.append((conv, turn, "user", "\n".join(lines)))
+    rows.append((1, 7, "bot", "common\n> rare 3"))
+    parts = [(c, t, x.count(">"), x.lstrip("> ")) for c, t, _, text in rows for x in text.split("\n")]
+    expected = {}
+    for c, t, level, body in parts:
+        origins = [u for d, u, own, said in parts if d == c and u < t and own == 0 and said == body]
+        if level and origins:
+            expected[c, t] = max(expected.get((c, t), (-9, 0)), (-level, max(origins)))
+    got = {(r["conv_id"], r["turn"]): r["reply_to"] for r in chat.links(chat.parse(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))).collect()}
+    assert len(got) > 20 and got == {k: v[1] for k, v in expected.items()}
+
+
 def test_warc_round_trip(spark, tmp_path):
     long = "é<p>日本</p>\r\n\r\nWARC/1.1\r\n" * 6000
     rows = [(1, "http://a/ b", "x"), (2, "http://b", "x"), (3, None, None), (4, "u\r\nv", long), (5, "http://c", "")]
