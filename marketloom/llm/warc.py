@@ -2,7 +2,7 @@
 
 Records are written by Spark's text writer, whose line separator is set to the
 two line ends that close a record, so archives land in whatever store the path
-names. A block longer than ``segment_bytes`` is written as a first record and
+names; they are compressed with gzip, and read with or without it. A block longer than ``segment_bytes`` is written as a first record and
 continuation records, which the reader groups by their origin, orders by segment
 number and joins after checking their total length.
 """
@@ -10,6 +10,7 @@ number and joins after checking their total length.
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 from collections.abc import Iterator
 from urllib.parse import quote
@@ -21,6 +22,7 @@ from pyspark.sql import functions as F
 from .common import arrow_map, scratch_path, table
 
 END = b"\r\n\r\n"
+GZIP = b"\x1f\x8b"
 RECORDS = "record_type string, page_id long, refers_to long, payload_digest string, payload_bytes long, origin string, segment int, total long, block binary"
 PAYLOADS = "page_id long, record_type string, refers_to long, payload_digest string, payload_bytes long, payload binary"
 
@@ -94,7 +96,7 @@ def write_warc(pages: DataFrame, path: str, min_bytes: int = 0, segment_bytes: i
                 out.append(record("continuation", f"{name}:{k}", part, WARC_Segment_Origin_ID=f"<{name}>", WARC_Segment_Number=k, WARC_Segment_Total_Length=total).decode())
         yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["value"])
 
-    arrow_map(roles, run, "value string").write.option("lineSep", END.decode()).option("maxRecordsPerFile", per_file).text(path)
+    arrow_map(roles, run, "value string").write.option("lineSep", END.decode()).option("maxRecordsPerFile", per_file).option("compression", "gzip").text(path)
 
 
 def parse(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -117,7 +119,7 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for content in batch.column(0).to_pylist():
             rows = []
-            for f, block in parse(content):
+            for f, block in parse(gzip.decompress(content) if content.startswith(GZIP) else content):
                 digest = f.get("warc-payload-digest", "").removeprefix("sha1:")
                 number = lambda k: None if f.get(k, "None") == "None" else int(f[k])  # noqa: B023, E731
                 refers = f.get("warc-refers-to", "").strip("<>").removeprefix("urn:x-page:")
