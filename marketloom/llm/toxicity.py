@@ -11,7 +11,8 @@ from __future__ import annotations
 
 import math
 import zlib
-from collections import defaultdict
+from collections import Counter
+from collections.abc import Iterable
 from typing import NamedTuple
 
 import numpy as np
@@ -86,23 +87,32 @@ def windows_of(model: Model) -> Windows:
     return _WINDOWS[key]
 
 
-def dictionary(mine: list[list[bytes]], others: list[list[bytes]]) -> bytes:
-    """The class's marking words and word beginnings, the most telling last.
+def contexts(texts: Iterable[str | None]) -> tuple[Counter[bytes], int]:
+    """(in how many different neighbourhoods each word and word beginning stands, how many words there are).
 
-    Copies of a document count once, since their words have the same neighbours.
-    Of a beginning and what continues it, the more telling one is taken.
+    A neighbourhood is the word before and the rest of the word. Copies of a
+    document count once, since their words have the same ones. Pairs of
+    neighbours are held as numbers, since whole texts have millions.
     """
-
-    def contexts(texts: list[list[bytes]]) -> tuple[dict[bytes, int], int]:
-        found: dict[bytes, set] = defaultdict(set)
-        for text in texts:
-            for a, b in zip([b"", *text], text):  # noqa: B905
-                for n in range(4, min(len(b), 10) + 1):
-                    found[b" " + b[:n]].add((a, b[n:]))
-                found[b" " + b + b" "].add((a, b""))
-        return {w: len(s) for w, s in found.items()}, max(1, sum(map(len, texts)))
-
-    (a, na), (b, nb) = contexts(mine), contexts(others)
+    number: dict[bytes, int] = {b"": 0}
+    pairs, total = [np.empty(0, np.int64)], 0
+    for text in texts:
+        ids = np.array([0, *(number.setdefault(w, len(number)) for w in words(text))], np.int64)
+        pairs.append(np.unique(ids[:-1] << 32 | ids[1:]))
+        total += len(ids) - 1
+    found: Counter[bytes] = Counter()
+    held = list(number)
+    for i, n in zip(*(x.tolist() for x in np.unique(np.unique(np.concatenate(pairs)) & 0xFFFFFFFF, return_counts=True)), strict=True):
+        word = held[i]
+        for k in range(4, min(len(word), 10) + 1):
+            found[b" " + word[:k]] += n
+        found[b" " + word + b" "] += n
+    return found, max(1, total)
+
+
+def dictionary(mine: tuple[Counter[bytes], int], others: tuple[Counter[bytes], int]) -> bytes:
+    """The class's marking words and word beginnings, the most telling last. Of a beginning and what continues it, the more telling one is taken."""
+    (a, na), (b, nb) = mine, others
     ratio = lambda w, k: (k / na) / ((b.get(w, 0) + 0.5) / nb)
     ranked = sorted(((k * math.log(r), len(w), w) for w, k in a.items() if k >= MIN_CONTEXTS and (r := ratio(w, k)) >= MIN_RATIO), reverse=True)
     chosen: list[bytes] = []
@@ -112,18 +122,17 @@ def dictionary(mine: list[list[bytes]], others: list[list[bytes]]) -> bytes:
     return b"".join(reversed(chosen)) + b" " + CARRIER
 
 
-def fit(labelled: list[tuple[str | None, int]], rounds: int = 400) -> Model:
-    """Dictionaries from one half's words and all, then logistic regression by Newton steps. Without toxic labels every score is low."""
-    split = [(words(t), y) for t, y in labelled]
-    toxic, ordinary = [w for w, y in split if y == 1], [w for w, y in split if y != 1]
+def fit(labelled: list[tuple[str | None, int]], rounds: int = 25) -> Model:
+    """A dictionary for each class, then logistic regression by Newton steps. Without labels of both classes every score is low."""
+    toxic, ordinary = contexts(t for t, y in labelled if y == 1), contexts(t for t, y in labelled if y != 1)
     model = Model(dictionary(toxic, ordinary), dictionary(ordinary, toxic), (0.0, 0.0, 0.0, 0.0, 0.0, -4.0))
-    if not toxic or not ordinary:
+    y = np.array([float(v == 1) for _, v in labelled])
+    if not 0 < y.sum() < len(y):
         return model
     w = Windows(model)
     x = np.array([w.figures(t) for t, _ in labelled])
-    y = np.array([float(v == 1) for _, v in labelled])
     beta = np.zeros(x.shape[1])
-    for _ in range(min(rounds, 25)):
+    for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
         hessian = (x * (p * (1 - p))[:, None]).T @ x + 0.3 * np.eye(len(beta))
         beta += np.linalg.solve(hessian, x.T @ (y - p) - 0.3 * beta)
