@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .functions.costs import CostModel
 from .operators import features, metrics, panel, quality
-from .plans import research
+from .plans import live, research
 from .plans.simulate import backtest, curves_of, fills_of
 from .schemas import ASSET
 from .sources import panels
@@ -353,6 +353,16 @@ def backtest_fills(spark, sf):
     return fills_of(backtest(panels.brand_prices(spark, sf), panels.brand_products(spark, sf), research.one_run(spark, "dip-buyer", START, END)))
 
 
+@query(f"""{WITH}, d AS (SELECT max(date) AS day FROM prices),
+m AS (SELECT product_id, sub_type, arg_max(market, date) AS mark, arg_max(market, date) FILTER (WHERE date <= day - 60) AS past FROM prices, d WHERE date BETWEEN day - 365 AND day GROUP BY product_id, sub_type),
+t AS (SELECT * FROM m JOIN products USING (product_id) WHERE kind = 'single' AND mark >= 3 AND past > 0 ORDER BY 1 - mark / past, product_id, sub_type LIMIT 10),
+s AS (SELECT product_id, sub_type, name, CAST(floor(1e4 / (SELECT count(*) FROM t) / mark) AS BIGINT) AS quantity, mark AS market FROM t) SELECT * FROM s WHERE quantity > 0""")
+def live_signals(spark, sf):
+    """What momentum would enter on the latest day with 10,000 in cash and no positions."""
+    found = live.recommend(panels.brand_prices(spark, sf), panels.brand_products(spark, sf), "xs-momentum", {}, cash=10_000.0)
+    return found.select("product_id", "sub_type", "name", "quantity", "market")
+
+
 @query()
 def walkforward_summary(spark, sf):
     found = research.walk_forward(panels.brand_prices(spark, sf), panels.brand_products(spark, sf), "sealed-accumulation", "1995-01-02", "1996-12-31", trials=6)

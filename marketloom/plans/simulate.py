@@ -171,26 +171,35 @@ def run_fold(days: dict[dt.date, dict[Asset, tuple]], meta: dict, strategy, star
     return fills, curve
 
 
+def bars(prices: DataFrame, products: DataFrame) -> DataFrame:
+    """Prints with what the catalogue says of their product."""
+    catalogue = products.select("product_id", F.col("kind").alias("product_kind"), "released_on")
+    return prices.select("date", *ASSET, "market", "mid", "low").join(F.broadcast(catalogue), "product_id", "left")
+
+
+def read_window(rows: pd.DataFrame) -> tuple[dict[dt.date, dict[Asset, tuple]], dict[int, tuple]]:
+    """(prints by day, kind and release of products) of a window's bars."""
+    none = lambda x: None if pd.isna(x) else x
+    days: dict = {}
+    meta: dict = {}
+    for r in rows.sort_values(["date", "product_id", "sub_type"]).itertuples():
+        days.setdefault(r.date, {})[int(r.product_id), r.sub_type] = (float(r.market), none(r.mid), none(r.low))
+        if none(r.product_kind):
+            meta[int(r.product_id)] = (r.product_kind, none(r.released_on))
+    return days, meta
+
+
 def backtest(prices: DataFrame, products: DataFrame, runs: DataFrame) -> DataFrame:
     """Fills and equity of all runs (schema RUNS), tagged by ``kind``; a run without prints has no rows.
 
     ``runs`` is a plan made by its caller, not data, and is broadcast with its
     windows; each run's slice of the panel goes to one task.
     """
-    columns = prices.select("date", *ASSET, "market", "mid", "low").join(F.broadcast(products.select("product_id", F.col("kind").alias("product_kind"), "released_on")), "product_id", "left")
     window = F.col("date").between(F.date_sub(F.col("start"), F.col("warmup")), F.col("end"))
-    bars = columns.join(F.broadcast(runs), window)
 
     def fold(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         run = rows.iloc[0]
-        rows = rows.sort_values(["date", "product_id", "sub_type"])
-        none = lambda x: None if pd.isna(x) else x
-        days: dict = {}
-        meta: dict = {}
-        for r in rows.itertuples():
-            days.setdefault(r.date, {})[int(r.product_id), r.sub_type] = (float(r.market), none(r.mid), none(r.low))
-            if none(r.product_kind):
-                meta[int(r.product_id)] = (r.product_kind, none(r.released_on))
+        days, meta = read_window(rows)
         strategy = make_strategy(run["strategy"], json.loads(run["params"]))
         fills, curve = run_fold(days, meta, strategy, run["start"], float(run["cash"]), CostModel(impact=bool(run["impact"])))
         out = [(key[0], "fill", f.day, f.asset[0], f.asset[1], f.quantity, f.price, f.fees, f.impact, None) for f in fills]
@@ -198,7 +207,7 @@ def backtest(prices: DataFrame, products: DataFrame, runs: DataFrame) -> DataFra
         frame = pd.DataFrame(out, columns=[c.split()[0] for c in OUTPUT.split(", ")])
         return frame.astype({"product_id": "Int64", "quantity": "Int64"})
 
-    return bars.groupBy("run_id").applyInPandas(fold, OUTPUT)
+    return bars(prices, products).join(F.broadcast(runs), window).groupBy("run_id").applyInPandas(fold, OUTPUT)
 
 
 def curves_of(result: DataFrame) -> DataFrame:

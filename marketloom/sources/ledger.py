@@ -12,8 +12,6 @@ from ..plans.simulate import Book, Fill
 KEYS = {"deposit": {"amount"}, "withdraw": {"amount"}, "buy": {"product_id", "sub_type", "qty", "price"}, "sell": {"product_id", "sub_type", "qty", "price"}}
 
 
-
-
 def parse(line: str, number: int) -> dict:
     """One event; errors name the line."""
     try:
