@@ -214,9 +214,10 @@ class Sets:
 def leaf_links(reps: np.ndarray, known: np.ndarray, tokens: list[bytes], percent: int) -> list[tuple[int, int]]:
     """Links that span the components of a small region; ``known`` members hang together already.
 
-    Each step takes a member outside the largest component as pivot and links it
-    with its whole ball. When none is left, every pair of different components
-    has had one of its two as pivot, so no link between components is missed.
+    Each step takes a member as pivot and links it with its whole ball. Known
+    members are no pivots, and members of the component that holds most are none
+    once all known members are in it. So of two members of different components,
+    one has been a pivot, and no link between components is missed.
     """
     parent = list(range(len(reps)))
 
@@ -244,8 +245,8 @@ def leaf_links(reps: np.ndarray, known: np.ndarray, tokens: list[bytes], percent
     sets, todo = Sets(tokens), [i for i in range(len(reps)) if not known[i]]
     largest = max(size)
     for i in sorted(todo, key=lambda i: (-sets.sizes[i], reps[i])):
-        if size[root(i)] == largest and 2 * largest > len(reps):
-            continue  # in the component that holds most, which it doesn't leave any more
+        if size[root(i)] == largest and 2 * largest > len(reps) and (not len(first) or root(first[0]) == root(i)):
+            continue  # in the component that holds most, which it doesn't leave any more, as are all members that are no pivots
         both = sets.shared(sets.of(i))
         for j in np.flatnonzero(100 * both >= percent * (sets.sizes + sets.sizes[i] - both)).tolist():
             if link(i, j):

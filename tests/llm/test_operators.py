@@ -55,6 +55,32 @@ def test_jaccard_join(spark, leaf):
     assert got == brute_components(rows, 4, 85)
 
 
+def components_of(n, links):
+    label = list(range(n))
+    for a, b in links:
+        label = [label[a] if x == label[b] else x for x in label]
+    return {frozenset(i for i in range(n) if label[i] == x) for x in label}
+
+
+def test_leaf_links_bridge_known_members():
+    rnd = random.Random(6)
+    for case in range(400):
+        if case:
+            base, sets = list(range(rnd.randint(20, 40))), []
+            for _ in range(rnd.randint(3, 12)):
+                sets.append({x if rnd.random() < 0.9 else rnd.randrange(100, 120) for x in rnd.choice([base, base, base[:-4] + [200, 201, 202, 203]])})
+        else:  # known 0 is linked to 1 alone, which is linked to all
+            m = set(range(100))
+            sets = [m - set(range(14)), m, *(m | {200 + 20 * k + j for j in range(8)} for k in range(3))]
+        near = [(a, b) for b in range(len(sets)) for a in range(b) if 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])]
+        group = max(components_of(len(sets), near), key=len) if case else {0}
+        known = [i in group and (not case or rnd.random() < 0.4) for i in range(len(sets))]
+        tied = [(min(i for i, k in enumerate(known) if k), i) for i, k in enumerate(known) if k]
+        got = jaccard.leaf_links(np.arange(len(sets)), np.array(known), [np.array(sorted(s), np.uint64).tobytes() for s in sets], 85)
+        assert set(got) <= set(near) | {(b, a) for a, b in near}
+        assert components_of(len(sets), got + tied) == components_of(len(sets), near + tied)
+
+
 def test_jaccard_join_of_nothing(spark):
     assert jaccard.ngram_jaccard_join(docs_of(spark, []), 4, 85).count() == 0
 
