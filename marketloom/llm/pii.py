@@ -71,8 +71,9 @@ def base_spans(text: str) -> list[Span]:
 # --- the field -----------------------------------------------------------------------------------
 
 TOKEN = re.compile(r"[A-Za-z]+|[0-9]+|[^\sA-Za-z0-9]|\s+")
-#: Where a segment may stand: digits with what joins them, or words about an address sign, spelt out or not.
-STRETCH = re.compile(r"[+(]?[0-9][0-9A-Fa-f() .:+-]{6,200}|[A-Za-z0-9._%+-]{1,64}\s{0,2}(?:@|\(at\)|\[at\]|\{at\})[^\n]{3,80}")
+#: Where a segment may stand: digits with what joins them, as far as they go, or words about an address sign, spelt out or not, up to the end of a word.
+NUMBERS = re.compile(r"[+(]?[0-9][0-9A-Fa-f() .:+-]{6,}")
+ADDRESS = re.compile(r"[A-Za-z0-9._%+-]{1,64}\s{0,2}(?:@|\(at\)|\[at\]|\{at\})(?=([^\n]{3,80}[A-Za-z0-9.-]*))")
 HINTS = {"phone": "phone", "tel": "phone", "call": "phone", "mobile": "phone", "fax": "phone", "card": "card", "visa": "card", "amex": "card", "credit": "card", "email": "email", "mail": "email", "contact": "email", "ip": "ip", "host": "ip", "server": "ip"}
 
 
@@ -201,18 +202,27 @@ def trained() -> SemiMarkov:
     return SemiMarkov.train(training_lines())
 
 
+def stretches(text: str) -> list[tuple[int, int]]:
+    """Where segments may stand, in order; what overlaps or touches is one stretch, so that no segment lies across a bound."""
+    found = sorted([m.span() for m in NUMBERS.finditer(text)] + [(m.start(), m.end(1)) for m in ADDRESS.finditer(text)])
+    out: list[tuple[int, int]] = []
+    for start, end in found:
+        if out and start <= out[-1][1]:
+            out[-1] = (out[-1][0], max(end, out[-1][1]))
+        else:
+            out.append((start, end))
+    return out
+
+
 def added_spans(text: str, base: list[Span], field: SemiMarkov) -> list[Span]:
-    """The field's spans that touch no base span; stretches are bounded, texts are not."""
+    """The field's spans that touch no base span. A stretch is decoded whole, in time linear in it."""
     out: list[Span] = []
-    at = 0
-    while m := STRETCH.search(text, at):
-        start, end = max(0, m.start() - 24), min(len(text), m.end() + 2)
-        # decode from the match's own start, with the words before it for the features
-        stretch, shift = text[start:end], start
-        for kind, a, b in field.decode(stretch):
-            if a + shift >= m.start() and not any(x < b + shift and a + shift < y for _, x, y in base):
+    for first, last in stretches(text):
+        # with the words before it for the features
+        shift = max(0, first - 24)
+        for kind, a, b in field.decode(text[shift : last + 2]):
+            if a + shift >= first and not any(x < b + shift and a + shift < y for _, x, y in base):
                 out.append((kind, a + shift, b + shift))
-        at = m.end()
     return out
 
 

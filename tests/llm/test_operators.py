@@ -163,6 +163,18 @@ def test_base_spans_and_field():
     assert pii.masked("a b@c.de f", [("email", 2, 8)]) == "a <email> f" and pii.find(None, field) == ([], [])
 
 
+def test_field_finds_entities_at_every_offset():
+    field, number = pii.trained(), "(389) 555-5010"
+    crowd = " ".join([number] * 100)
+    assert pii.find(crowd, field)[1] == [("phone", 15 * k, 15 * k + 14) for k in range(100)]
+    for k in range(230):
+        for before in ("write to ab@cd.com " + ("word " * 50)[:k] + " ", "x 7" + "." * (k + 20) + " "):
+            text = before + number + " now"
+            assert ("phone", len(before), len(before) + len(number)) in pii.find(text, field)[1]
+        text = "write to ab@cd.com " + ("word " * 50)[:k] + " jane (at) mail.com now"
+        assert ("email", text.index("jane"), len(text) - 4) in pii.find(text, field)[1]
+
+
 def test_redaction_keeps_columns(spark):
     out = pii.redact(docs_of(spark, [(1, "at x.y@z.com"), (2, None), (None, "")])).orderBy("doc_id").collect()
     assert [(r["doc_id"], r["text"], r["key"]) for r in out] == [(None, "", "k"), (1, "at <email>", "k"), (2, None, "k")]
