@@ -21,17 +21,20 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.keep_good(docs, quality.train_field(docs, table(spark, sf_dir, "labels")))
 
 
+def staying(docs: DataFrame, kept: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose id is kept, and those without an id."""
+    return docs.hint("merge").join(kept, "doc_id", "left_semi").select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
+
+
 def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the row with the largest id stays."""
-    kept = exact_dedup.exact_dedup(*exact_dedup.split_by_age(docs)).where("kept").select("doc_id")
-    return docs.hint("merge").join(kept, "doc_id", "left_semi").select(*docs.columns)
+    """Of equal texts the row with the largest id stays; rows without an id all stay, whatever their text."""
+    return staying(docs, exact_dedup.exact_dedup(*exact_dedup.split_by_age(docs)).where("kept").select("doc_id"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by five-word shingles at a similarity of 0.8 or more, the one with the smallest id stays."""
+    """Of documents linked by five-word shingles at a similarity of 0.8 or more, the one with the smallest id stays; rows without an id link with nothing and all stay."""
     classes = jaccard.ngram_jaccard_join(docs, width=5, percent=80)
-    kept = classes.where("component_id = doc_id").select("doc_id")
-    return docs.hint("merge").join(kept, "doc_id", "left_semi").select(*docs.columns)
+    return staying(docs, classes.where("component_id = doc_id").select("doc_id"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
