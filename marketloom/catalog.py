@@ -335,10 +335,15 @@ def snapshot_pnl(spark, sf):
 # --- backtests, walk-forward, statistics ---------------------------------------------------------------
 
 
+def whole_run(spark, sf, name: str) -> DataFrame:
+    """The results of a backtest from the panel's first day to its last."""
+    prices = panels.brand_prices(spark, sf)
+    return backtest(prices, panels.brand_products(spark, sf), research.one_run(spark, name, *panels.days(prices)))
+
+
 def _backtest(name: str):
     def run(spark, sf):
-        result = backtest(panels.brand_prices(spark, sf), panels.brand_products(spark, sf), research.one_run(spark, name, START, END))
-        return curves_of(result)
+        return curves_of(whole_run(spark, sf, name))
 
     run.__name__ = "backtest_" + name.replace("-", "_")
     return query()(run)
@@ -350,7 +355,7 @@ for _name in ("buy-and-hold", "sealed-accumulation", "dip-buyer", "xs-momentum",
 
 @query()
 def backtest_fills(spark, sf):
-    return fills_of(backtest(panels.brand_prices(spark, sf), panels.brand_products(spark, sf), research.one_run(spark, "dip-buyer", START, END)))
+    return fills_of(whole_run(spark, sf, "dip-buyer"))
 
 
 @query(f"""{WITH}, d AS (SELECT max(date) AS day FROM prices),
@@ -365,7 +370,8 @@ def live_signals(spark, sf):
 
 @query()
 def walkforward_summary(spark, sf):
-    found = research.walk_forward(panels.brand_prices(spark, sf), panels.brand_products(spark, sf), "sealed-accumulation", "1995-01-02", "1996-12-31", trials=6)
+    prices = panels.brand_prices(spark, sf)
+    found = research.walk_forward(prices, panels.brand_products(spark, sf), "sealed-accumulation", *panels.days(prices))
     return found["best"].join(found["oos"], F.format_string("%05d", "fold") == F.col("run_id")).drop("run_id")
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..operators.classify import with_kind
 
@@ -42,6 +43,12 @@ def part_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(PART_SQL, lineitem=_table(spark, sf_dir, "lineitem"))
 
 
+def days(prices: DataFrame) -> tuple[str, str]:
+    """The first and the last day of a panel; of an empty one, a day on which nothing is."""
+    first, last = prices.agg(F.min("date"), F.max("date")).first()
+    return str(first or "1970-01-01"), str(last or "1970-01-01")
+
+
 def brand_products(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Products of the dense panel; some are missing on purpose. One row a brand, so it may be broadcast."""
     return with_kind(spark.sql(CATALOG_SQL, part=_table(spark, sf_dir, "part"))).select("product_id", "group_id", "name", "rarity", "kind", "released_on")

@@ -205,3 +205,21 @@ def test_queries_have_sql_under_their_names():
     from marketloom import catalog
 
     assert set(catalog.oracle_sql()) < set(catalog.queries())
+
+
+def test_registered_backtests_run_over_the_whole_panel(spark):
+    from marketloom import catalog
+    from marketloom.plans.research import make_folds, sample_params
+    from marketloom.sources import panels
+
+    sf, found = "/root/testdata/sf0.001", catalog.queries()
+    prices = panels.brand_prices(spark, sf)
+    days = {r["date"] for r in prices.select("date").distinct().collect()}
+    for name in ("backtest_buy_and_hold", "backtest_cost_aware_reversion"):
+        assert {r["date"] for r in found[name](spark, sf).select("date").collect()} == days
+    assert {r["day"].year for r in found["backtest_fills"](spark, sf).select("day").collect()} - {1996}
+    folds = {r["fold"]: r["oos_end"] for r in make_folds(spark, str(min(days)), str(max(days)), 180, 60).collect()}
+    rows = found["walkforward_summary"](spark, sf).collect()
+    assert {r["fold"]: r["oos_end"] for r in rows} == folds and (max(days) - max(folds.values())).days < 60
+    tried = [json.dumps(p, sort_keys=True) for p in sample_params("sealed-accumulation", 42, 25)]
+    assert {r["params"] for r in rows} <= set(tried)
