@@ -90,7 +90,7 @@ class Field:
 
     @classmethod
     def train(cls, documents: list[tuple[np.ndarray, int]], rounds: int = 60, rate: float = 0.5, decay: float = 1e-3) -> Field:
-        """Gradient ascent on the mean log-likelihood over (features, label of all lines); forward-backward over all documents at once."""
+        """Gradient ascent on the mean log-likelihood over (features, label of all lines); forward-backward over blocks of documents of similar length."""
         field = cls(np.zeros((FEATURES, 2)), np.zeros((2, 2)))
         documents = sorted((d for d in documents if len(d[0])), key=lambda d: -len(d[0]))
         if not documents:
@@ -99,35 +99,46 @@ class Field:
         lengths = np.array([len(x) for x, _ in documents])
         labels = np.array([y for _, y in documents])
         share = np.where(labels == 1, 0.5 / max(1, (labels == 1).sum()), 0.5 / max(1, (labels == 0).sum())) / lengths
-        total = int(lengths.max())
-        x = np.zeros((total, len(documents), FEATURES))
-        for k, (f, _) in enumerate(documents):
-            x[: len(f), k] = f
-        alive = [int((lengths > t).sum()) for t in range(total)]
+        blocks, begin = [], 0
+        while begin < len(documents):
+            # lengths within a factor of two, so that padding at most doubles the lines
+            end = begin + int((2 * lengths[begin:] >= lengths[begin]).sum())
+            x = np.zeros((int(lengths[begin]), end - begin, FEATURES))
+            for k, (f, _) in enumerate(documents[begin:end]):
+                x[: len(f), k] = f
+            blocks.append((x, lengths[begin:end], labels[begin:end], share[begin:end]))
+            begin = end
         for _ in range(rounds):
-            s = x @ field.weights
-            alpha, beta = np.zeros_like(s), np.zeros_like(s)
-            alpha[0] = s[0]
-            for t in range(1, total):
-                n = alive[t]
-                alpha[t, :n] = s[t, :n] + np.logaddexp(alpha[t - 1, :n, :1] + field.moves[0], alpha[t - 1, :n, 1:] + field.moves[1])
-            for t in range(total - 2, -1, -1):
-                n = alive[t + 1]
-                nxt = s[t + 1, :n] + beta[t + 1, :n]
-                beta[t, :n] = np.stack([np.logaddexp(nxt[:, 0] + field.moves[i, 0], nxt[:, 1] + field.moves[i, 1]) for i in (0, 1)], 1)
-            log_z = np.logaddexp(*(alpha[0] + beta[0]).T)
-            gw, gm = -decay * field.weights, -decay * field.moves
-            for t in range(total):
-                n = alive[t]
-                p = np.exp(alpha[t, :n] + beta[t, :n] - log_z[:n, None])
-                gw = gw + x[t, :n].T @ ((np.eye(2)[labels[:n]] - p) * share[:n, None])
-                if t + 1 < total and (m := alive[t + 1]):
-                    pair = np.exp(alpha[t, :m, :, None] + field.moves + (s[t + 1, :m] + beta[t + 1, :m])[:, None, :] - log_z[:m, None, None])
-                    pair[np.arange(m), labels[:m], labels[:m]] -= 1
-                    gm = gm - (pair * share[:m, None, None]).sum(0)
+            parts = [field.gradient(*block) for block in blocks]
+            gw, gm = sum(g for g, _ in parts) - decay * field.weights, sum(g for _, g in parts) - decay * field.moves
             field.weights, field.moves = field.weights + rate * gw, field.moves + rate * gm
         return field
 
+    def gradient(self, x: np.ndarray, lengths: np.ndarray, labels: np.ndarray, share: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """What a block of padded documents, longest first, adds to the gradients of weights and moves."""
+        total, gw, gm = len(x), np.zeros_like(self.weights), np.zeros_like(self.moves)
+        alive = [int((lengths > t).sum()) for t in range(total)]
+        s = x @ self.weights
+        alpha, beta = np.zeros_like(s), np.zeros_like(s)
+        alpha[0] = s[0]
+        for t in range(1, total):
+            n = alive[t]
+            alpha[t, :n] = s[t, :n] + np.logaddexp(alpha[t - 1, :n, :1] + self.moves[0], alpha[t - 1, :n, 1:] + self.moves[1])
+        for t in range(total - 2, -1, -1):
+            n = alive[t + 1]
+            nxt = s[t + 1, :n] + beta[t + 1, :n]
+            beta[t, :n] = np.stack([np.logaddexp(nxt[:, 0] + self.moves[i, 0], nxt[:, 1] + self.moves[i, 1]) for i in (0, 1)], 1)
+        log_z = np.logaddexp(*(alpha[0] + beta[0]).T)
+        for t in range(total):
+            n = alive[t]
+            p = np.exp(alpha[t, :n] + beta[t, :n] - log_z[:n, None])
+            gw = gw + x[t, :n].T @ ((np.eye(2)[labels[:n]] - p) * share[:n, None])
+            if t + 1 < total and (m := alive[t + 1]):
+                pair = np.exp(alpha[t, :m, :, None] + self.moves + (s[t + 1, :m] + beta[t + 1, :m])[:, None, :] - log_z[:m, None, None])
+                pair[np.arange(m), labels[:m], labels[:m]] -= 1
+                gm = gm - (pair * share[:m, None, None]).sum(0)
+        return gw, gm
+
 
 def judge(text: str | None, field: Field) -> tuple[int, int, int, int, int, bool, int, bool]:
     """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, content_words, kept of a whole text; null counts as empty."""
@@ -143,11 +154,11 @@ def judge(text: str | None, field: Field) -> tuple[int, int, int, int, int, bool
 
 
 def train_field(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Field:
-    """Fit on the ``sample`` labelled documents with the smallest hash of their id; without labels every line is content."""
+    """Fit on the ``sample`` labelled documents with the smallest hash of their id, on all their lines; without labels every line is content."""
     marked = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "quality").orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(sample)
     rows = docs.select("doc_id", "text").join(F.broadcast(marked), "doc_id")  # at most ``sample`` rows
     found = sorted((r["doc_id"], r["quality"], r["text"] or "") for r in rows.collect()) if not marked.isEmpty() else []
-    return Field.train([(line_features(text.encode().split(b"\n"))[0][:2000], int(quality)) for _, quality, text in found])
+    return Field.train([(line_features(text.encode().split(b"\n"))[0], int(quality)) for _, quality, text in found])
 
 
 def score(docs: DataFrame, field: Field) -> DataFrame:

@@ -247,6 +247,30 @@ def test_quality_counts_and_decoding():
         assert tuple(field.viterbi(x)) == best
 
 
+def test_quality_trains_on_all_lines(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(quality.Field, "train", classmethod(lambda cls, documents: seen.extend(documents)))
+    rows = [(1, "a b\n" * 2500 + "\n".join(f"word {k}" for k in range(700))), (2, "c d")]
+    quality.train_field(docs_of(spark, rows), spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int"))
+    assert [(len(x), y) for x, y in seen] == [(3200, 1), (1, 0)]
+
+
+def test_quality_blocks_add_up_to_one_gradient():
+    rnd = np.random.default_rng(4)
+    documents = sorted(((rnd.normal(size=(n, quality.FEATURES)), int(rnd.integers(2))) for n in (1, 2, 3, 5, 9, 40, 100)), key=lambda d: -len(d[0]))
+    lengths, labels = np.array([len(x) for x, _ in documents]), np.array([y for _, y in documents])
+    share = np.where(labels == 1, 0.5 / max(1, (labels == 1).sum()), 0.5 / max(1, (labels == 0).sum())) / lengths
+    x = np.zeros((lengths[0], len(documents), quality.FEATURES))
+    for k, (f, _) in enumerate(documents):
+        x[: len(f), k] = f
+    whole = quality.Field(np.zeros((quality.FEATURES, 2)), np.zeros((2, 2)))
+    for _ in range(5):
+        gw, gm = whole.gradient(x, lengths, labels, share)
+        whole.weights, whole.moves = whole.weights + 0.5 * (gw - 1e-3 * whole.weights), whole.moves + 0.5 * (gm - 1e-3 * whole.moves)
+    trained = quality.Field.train(documents, rounds=5)
+    assert np.allclose(trained.weights, whole.weights) and np.allclose(trained.moves, whole.moves)
+
+
 def test_trained_models_on_held_out_rows(spark):
     sf = "/root/testdata/sf0.01"
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
