@@ -1,9 +1,11 @@
 """Chat formatting by quotation linking, with DataFrame functions only.
 
 A message's lines carry quote marks (``>``, ``>>``, ``> >``); their number is the
-level. Runs of one level make passages, which are normalised and hashed and joined
-to the passages that earlier messages of the conversation say themselves. The
-latest such message is what the quoting one replies to. Messages are laid out
+level. Each quoted line is normalised and hashed and joined to the lines that
+earlier messages of the conversation say themselves; runs of lines are not made
+passages. The latest message that says any line quoted at the lowest level found
+is what the quoting one replies to, so a common line said again later draws the
+link, and a quote wrapped anew links to nothing. Messages are laid out
 without quotes, each thread together, replies after what they answer.
 """
 
