@@ -141,18 +141,20 @@ def exact_dedup(incoming: DataFrame, snapshot: DataFrame, per_bucket: int = 100_
     old, new = materialize(grouped(old_rows), "old-groups"), grouped(new_rows)
     buckets = max(1, -(-old.count() // per_bucket))
     screened = materialize(screen(new, snapshot_filters(old, buckets), buckets), "screened")
-    hits = screened.where("maybe").select("digest", "n_bytes", F.col("keep_id").alias("new_id"))
-    pairs = materialize(hits.join(old.select("digest", "n_bytes", F.col("keep_id").alias("old_id")), ["digest", "n_bytes"]), "pairs")
+    hits = screened.where("maybe").select("digest", "n_bytes", F.col("keep_id").alias("new_id"), F.col("rows").alias("new_rows"))
+    pairs = materialize(hits.join(old.select("digest", "n_bytes", F.col("keep_id").alias("old_id"), F.col("rows").alias("old_rows")), ["digest", "n_bytes"]), "pairs")
     ids = pairs.select("digest", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("new_id").alias("doc_id")), F.struct(F.lit(1).alias("side"), F.col("old_id").alias("doc_id")))).alias("x")).select("digest", "x.side", "x.doc_id")
     lower = F.translate(F.coalesce("text", F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     texts = incoming.select("doc_id", "text", F.lit(0).alias("side")).unionByName(snapshot.select("doc_id", "text", F.lit(1).alias("side")))
     # a merge join, so that the plan is one at every size
-    checked = ids.hint("merge").join(texts, ["doc_id", "side"]).select("digest", lower.alias("body")).where(F.sha2("body", 256) == F.lower(F.hex("digest")))
-    if checked.groupBy("digest").agg((F.min("body") != F.max("body")).alias("differs")).where("differs").limit(1).count():
+    checked = ids.hint("merge").join(texts, ["doc_id", "side"]).select("digest", "side", lower.alias("body")).where(F.sha2("body", 256) == F.lower(F.hex("digest")))
+    equal = checked.groupBy("digest").agg((F.min("body") == F.max("body")).alias("equal"), (F.min("side") != F.max("side")).alias("both")).where("equal AND both")
+    if pairs.where("new_id IS NOT NULL AND old_id IS NOT NULL").join(equal, "digest", "left_anti").limit(1).count():
         raise ValueError("two texts of one SHA-256 digest differ")
-    news = screened.select("digest", "n_bytes", "keep_id", "rows")
-    groups = old.unionByName(news).groupBy("digest", "n_bytes").agg(F.max("keep_id").alias("keep_id"), F.sum("rows").alias("group_size"))
-    joined = new_rows.unionByName(old_rows).join(groups, ["digest", "n_bytes"])
+    # a digest that the filter keeps out, or that the bucket doesn't have, stays with its own side's group
+    met = pairs.select("digest", "n_bytes", F.greatest("new_id", "old_id").alias("met_id"), (F.col("new_rows") + F.col("old_rows")).alias("met_rows"))
+    told = lambda groups: groups.join(met, ["digest", "n_bytes"], "left").select("digest", "n_bytes", F.coalesce("met_id", "keep_id").alias("keep_id"), F.coalesce("met_rows", "rows").alias("group_size"))
+    joined = new_rows.join(told(screened), ["digest", "n_bytes"]).unionByName(old_rows.join(told(old), ["digest", "n_bytes"]))
     return joined.select("doc_id", "keep_id", "group_size", F.coalesce(F.col("doc_id") == F.col("keep_id"), F.lit(True)).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
 
 

@@ -151,6 +151,16 @@ def test_exact_dedup_and_filters(spark):
     assert exact_dedup.exact_dedup(*exact_dedup.split_by_age(docs_of(spark, []))).count() == 0
 
 
+def test_exact_dedup_rests_on_its_filter(spark, monkeypatch):
+    docs = docs_of(spark, [(0, "x"), (1, "y"), (2, "X"), (3, "z"), (None, "y"), (None, "w")])
+    groups = lambda: {(r["doc_id"], r["text_sha256"][:4]): (r["keep_id"], r["group_size"]) for r in exact_dedup.exact_dedup(*exact_dedup.split_by_age(docs)).collect()}
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()[:4]
+    assert groups() == {(0, sha("x")): (2, 2), (2, sha("x")): (2, 2), (1, sha("y")): (1, 2), (None, sha("y")): (1, 2), (3, sha("z")): (3, 1), (None, sha("w")): (None, 1)}
+    screen = exact_dedup.screen
+    monkeypatch.setattr(exact_dedup, "screen", lambda *given: screen(*given).withColumn("maybe", F.lit(False)))
+    assert groups()[2, sha("x")] == (2, 1) and groups()[0, sha("x")] == (0, 1)
+
+
 def test_base_spans_and_field():
     rnd, brute_email, brute_ip = random.Random(5), re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
     for _ in range(5000):
