@@ -1,16 +1,17 @@
 """Exact Jaccard self-join of documents' word n-grams in the metric space of sets.
 
 Unrelated documents are all at Jaccard distance 1 of each other, where windows of
-document pivots would replicate everything everywhere. So the first pivots are
-one-shingle sets {s}: a document is at distance 1 - 1/n of those it holds and 1 of
-all others. A document enters the regions of the rarest shingles of its prefix,
-enough of them that two linked documents share a region. Inside regions, distances
-are telling, and document pivots take over. Regions that hang together in a cluster
-of bounded size are joined as one, in one task, pivot by pivot. In larger ones
-members go to the Voronoi cell of the nearest pivot, and those not yet known to
-hang together with the region's largest component also to every cell within the
-window of twice the radius, as the triangle inequality demands; cells are joined
-recursively, small ones exactly in one task.
+document pivots would replicate everything everywhere. So the corpus is parted
+first, without loss: the hash range of shingles is cut into so many parts that two
+linked sets, which differ in a bounded number of shingles, agree on a whole part.
+The digest of a part with enough shingles is a signature, and sets that share
+signatures hang together in regions; chance hardly makes two sets agree on a part.
+
+Inside every region, of whatever size, distances are telling and pivots take over:
+members go to the Voronoi cell of the nearest pivot and, as the triangle inequality
+demands, to the cells within the window of twice the radius, unless all members are
+known to hang together. Cells are joined recursively. A region whose sets fit in a
+task is joined there; a larger one is split by the same step over many tasks first.
 
 Distances below the radius are found on whole sets, so the links are exact; a
 shingle stands for its words by 64 bits.
@@ -19,6 +20,7 @@ shingle stands for its words by 64 bits.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -26,12 +28,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_map, materialize, table, word_digests
+from .common import arrow_map, discard, materialize, table, word_digests
 
-#: Members of a region that one task joins, pivots of a larger one (at most 62), rounds of splitting.
-LEAF, PIVOTS, ROUNDS = 4096, 16, 2
-#: Prefix shingles that one task counts.
-BLOCK = 1_500_000
+#: Bytes of the sets that one task joins; pivots of a larger region in a round (at most 62); members of a cell that are compared one by one.
+LEAF_BYTES, PIVOTS, FEW = 16 << 20, 24, 8
+#: Signatures that one task groups, that a writing task holds at once, and groups at least.
+BLOCK, HELD, LEAST_BLOCKS = 1_500_000, 2_000_000, 64
 MEMBERS = "region string, rep long, n long, known boolean, tokens binary"
 
 
@@ -56,135 +58,200 @@ def set_key(tokens: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(tokens.tobytes())
 
 
-def slack(n, percent: int):
-    """How many of a set's n shingles a linked set may lack."""
-    return n - (percent * n + 99) // 100
+def short_key(key: bytes) -> int:
+    """64 bits of a set's key; sets that share them share regions, which costs time but no link."""
+    return int.from_bytes(key[:8], "little", signed=True)
 
 
-def need(n, percent: int):
-    """Prefixes of linked sets share so many shingles at least, by the smaller set that may link."""
-    return slack((percent * n + 99) // 100, percent) + 1
+# --- signatures -----------------------------------------------------------------------------------
 
 
-# --- regions of rare shingles -------------------------------------------------------------------
+class Tag:
+    """How sets of two neighbouring size classes are parted: linked ones differ in at most ``differ`` shingles.
+
+    Class j holds sizes low..high with 100 * low >= percent * high, so linked sets
+    are of one class or of neighbours; tag j serves pairs of class j and of j - 1
+    with j. Of ``parts`` parts, linked sets agree on ``spare`` + 1 and more. A part
+    is rich from ``rich`` shingles on: two where a set's parts have enough of them.
+    """
+
+    def __init__(self, number: int, below: int, low: int, high: int, percent: int):
+        self.number, self.low, self.high = number, low, high
+        self.differ = max(below * (100 - percent) // percent, 2 * high * (100 - percent) // (100 + percent))
+        self.rich = 2 if low >= 4 * (self.differ * 9 // 8 + 2) else 1
+        self.spare = self.differ // (8 if self.rich == 2 else 12) + 1
+        self.parts = self.differ + 1 + self.spare
+
+
+class Tags:
+    def __init__(self, percent: int):
+        self.percent, self.tags, self.highs = percent, [], []
+
+    def of(self, n: int) -> tuple[Tag, Tag]:
+        """The two tags of a set of n shingles."""
+        while len(self.highs) < 2 or self.highs[-2] < n:
+            low = self.highs[-1] + 1 if self.highs else 1
+            self.tags.append(Tag(len(self.tags), self.highs[-1] if self.highs else 0, low, low * 100 // self.percent, self.percent))
+            self.highs.append(self.tags[-1].high)
+        at = int(np.searchsorted(self.highs, n))
+        return self.tags[at], self.tags[at + 1]
+
+
+@lru_cache(maxsize=8)
+def tags_of(percent: int) -> Tags:
+    return Tags(percent)
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = x * np.uint64(0x9E3779B97F4A7C15)
+    x ^= x >> np.uint64(29)
+    x = x * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(32))
+
+
+def signatures(tokens: np.ndarray, percent: int) -> np.ndarray:
+    """Digests of which two different linked sets share at least one.
+
+    Under each of its tags a set sends its rich parts. Linked sets agree on spare + 1 parts, so if one of the two has at most ``spare``
+    poorer parts, they agree on a part that is sent. Sets with more poor parts
+    also send the first shingles in hash order, of which two linked sets share one.
+    """
+    out, sums, high = [], np.concatenate((np.zeros(1, np.uint64), np.cumsum(_mixed(tokens)))), tokens >> np.uint64(32)
+    for tag in tags_of(percent).of(len(tokens)):
+        if not tag.differ:
+            continue  # only equal sets link
+        part = (high * np.uint64(tag.parts)) >> np.uint64(32)  # as ordered as the tokens
+        bounds = np.searchsorted(part, np.arange(tag.parts + 1, dtype=np.uint64))
+        rich = np.flatnonzero(np.diff(bounds) >= tag.rich)
+        name = np.uint64(tag.number << 40)
+        out.append((sums[bounds[rich + 1]] - sums[bounds[rich]]) ^ _mixed(rich.astype(np.uint64) + name))
+        if tag.parts - len(rich) > tag.spare:
+            n = len(tokens)
+            out.append(tokens[: n - (percent * n + 99) // 100 + 1] ^ _mixed(np.array([name + np.uint64(1 << 39)]))[0])
+    return _mixed(np.concatenate(out)) if out else np.zeros(0, np.uint64)
+
+
+def hanging(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The smallest number that each of 0..n-1 hangs together with, by the edges a-b."""
+    label = np.arange(n)
+    while True:
+        least = np.minimum(label[a], label[b])
+        new = label.copy()
+        np.minimum.at(new, a, least)
+        np.minimum.at(new, b, least)
+        np.minimum.at(new, label[a], least)
+        np.minimum.at(new, label[b], least)
+        while (new[new] != new).any():
+            new = new[new]
+        if (new == label).all():
+            return label
+        label = new
+
+
+def together(signs: np.ndarray, owner: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(label of each owner, the distinct signatures in order, one owner of each): owners that share a signature hang together."""
+    order = np.argsort(signs, kind="stable")
+    signs, owner = signs[order], owner[order]
+    first = np.concatenate(([True], signs[1:] != signs[:-1]))
+    start = np.flatnonzero(first)
+    head = np.repeat(owner[start], np.diff(np.append(start, len(signs))))
+    edges = np.unique(np.stack([head, owner])[:, ~first], axis=1) if not first.all() else np.zeros((2, 0), np.int64)
+    label = hanging(n, *edges)
+    return label, signs[start], label[owner[start]]
 
 
 def set_table(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, n_shingles, key (a digest of the set) of every row."""
+    """doc_id, n_shingles, key (a digest of the set) and short (64 bits of it) of every row."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = [shingles(t, width) for t in batch.column(1).to_pylist()]
-        return pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_key(s) for s in sets], pa.binary())], ["doc_id", "n_shingles", "key"])
+        keys = [set_key(s) for s in sets]
+        return pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), pa.array(map(short_key, keys), pa.int64())], ["doc_id", "n_shingles", "key", "short"])
 
-    return arrow_map(docs.select("doc_id", "text"), run, "doc_id long, n_shingles long, key binary")
+    return arrow_map(docs.select("doc_id", "text"), run, "doc_id long, n_shingles long, key binary, short long")
 
 
-def prefix_blocks(docs: DataFrame, width: int, percent: int, blocks: int) -> DataFrame:
-    """Each batch's prefixes, 2 * slack + 1 shingles in hash order, dealt by hash range: block, tokens (32 bits), owner, keys, sizes.
+def signature_blocks(docs: DataFrame, width: int, percent: int, blocks: int) -> DataFrame:
+    """Signatures dealt by hash range: block, signs (32 bits), owner, names (short keys), and pairs of names that hang together already.
 
-    Equal sets of a batch go once. The range and 32 bits stand for a shingle
-    here; two that coincide make one region, which costs time but no link.
+    A task sends a signature once, however many of its sets have it; those hang
+    together, which ``pairs`` say. So a group of near copies that fills a third of
+    the rows is one entry a task.
     """
 
-    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        keys, sizes, parts, owners, seen = [], [], [], [], set()
-        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            s = shingles(text, width)
-            if not len(s) or doc_id is None or (key := set_key(s)) in seen:
-                continue
-            seen.add(key)
-            prefix = s[: 2 * slack(len(s), percent) + 1]
-            owners.append(np.full(len(prefix), len(keys), np.uint32))
-            parts.append(prefix)
-            keys.append(key)
-            sizes.append(len(s))
-        if not keys:
+    def flush(parts: list[np.ndarray], names: list[int]) -> Iterator[pa.RecordBatch]:
+        if not names:
             return
-        # shingles are in hash order, so a mixed hash deals them evenly
-        t = np.concatenate(parts) * np.uint64(0x9E3779B97F4A7C15)
-        t ^= t >> np.uint64(29)
-        owner, block = np.concatenate(owners), ((t >> np.uint64(32)) * np.uint64(blocks)) >> np.uint64(32)
-        order = np.argsort(block, kind="stable")
-        t, owner, ends = (t[order] & np.uint64(0xFFFFFFFF)).astype(np.uint32), owner[order], np.searchsorted(block[order], np.arange(blocks + 1))
-        keys_, sizes_ = np.frombuffer(b"".join(keys), "V16"), np.array(sizes, np.uint32)
+        named = np.array(names, np.int64)
+        owner = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
+        label, signs, owner = together(np.concatenate(parts), owner, len(parts))
         rows = []
+        block = ((signs >> np.uint64(32)) * np.uint64(blocks)) >> np.uint64(32)
+        ends = np.searchsorted(block, np.arange(blocks + 1, dtype=np.uint64))
+        moved = np.flatnonzero(label != np.arange(len(label)))
+        to = named[label[moved]] % blocks
         for b in range(blocks):
-            if ends[b] < ends[b + 1]:
+            mine = moved[to == b]
+            pairs = np.stack([named[label[mine]], named[mine]], 1)
+            if ends[b] < ends[b + 1] or len(pairs):
                 present, index = np.unique(owner[ends[b] : ends[b + 1]], return_inverse=True)
-                rows.append((b, t[ends[b] : ends[b + 1]].tobytes(), index.astype(np.uint16 if len(present) < 65536 else np.uint32).tobytes(), keys_[present].tobytes(), sizes_[present].tobytes()))
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], ["block", "tokens", "owner", "keys", "sizes"])
-
-    return arrow_map(docs.select("doc_id", "text"), run, "block long, tokens binary, owner binary, keys binary, sizes binary")
+                rows.append((b, (signs[ends[b] : ends[b + 1]] & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes(), index.astype(np.uint16 if len(present) < 65536 else np.uint32).tobytes(), named[present].tobytes(), pairs.tobytes()))
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], ["block", "signs", "owner", "names", "pairs"])
 
-
-def _shared(parts: pd.DataFrame) -> pd.DataFrame:
-    """key, n and the packed (token, df) of each set's prefix shingles in a block that another set's prefix holds too."""
-    tokens, keys, sizes = [], [], []
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, names, seen, held = [], [], set(), 0
+        for batch in batches:
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                s = shingles(text, width)
+                if not len(s) or doc_id is None or (name := short_key(set_key(s))) in seen:
+                    continue
+                seen.add(name)
+                if len(mine := signatures(s, percent)):
+                    parts.append(mine)
+                    names.append(name)
+                    held += len(mine)
+                if held >= HELD:
+                    yield from flush(parts, names)
+                    parts, names, seen, held = [], [], set(), 0
+        yield from flush(parts, names)
+
+    return docs.select("doc_id", "text").mapInArrow(run, "block long, signs binary, owner binary, names binary, pairs binary")
+
+
+def _bound(parts: pd.DataFrame) -> pd.DataFrame:
+    """Edges that span the sets which hang together by a block's signatures and pairs."""
+    signs, names, pairs = [], [], []
     for p in parts.itertuples():
-        t, k = np.frombuffer(p.tokens, np.uint32), np.frombuffer(p.keys, "V16")
-        index = np.frombuffer(p.owner, np.uint16 if len(k) < 65536 else np.uint32)
-        tokens.append(t)
-        keys.append(k[index])
-        sizes.append(np.frombuffer(p.sizes, np.uint32)[index])
-    t, k, n = np.concatenate(tokens), np.concatenate(keys), np.concatenate(sizes)
-    order = np.argsort(t, kind="stable")
-    t = t[order]
-    start = np.flatnonzero(np.concatenate(([True], t[1:] != t[:-1])))
-    many = np.repeat(np.diff(np.append(start, len(t))) > 1, np.diff(np.append(start, len(t))))
-    t, k, n = t[many], k[order][many], n[order][many]
-    if not len(t):
-        return pd.DataFrame({"key": [], "n": [], "packed": []})
-    halves = np.ascontiguousarray(k).view(np.uint64).reshape(-1, 2)
-    order = np.lexsort((halves[:, 1], halves[:, 0], t))
-    t, halves, k, n = t[order], halves[order], k[order], n[order]
-    fresh = np.concatenate(([True], (t[1:] != t[:-1]) | (halves[1:] != halves[:-1]).any(1)))  # equal sets of several batches count once
-    t, halves, k, n = t[fresh], halves[fresh], k[fresh], n[fresh]
-    start = np.flatnonzero(np.concatenate(([True], t[1:] != t[:-1])))
-    df = np.diff(np.append(start, len(t)))
-    df = np.repeat(df, df)
-    many = df > 1
-    t, halves, k, n, df = t[many], halves[many], k[many], n[many], df[many]
-    order = np.lexsort((halves[:, 1], halves[:, 0]))
-    t, halves, k, n, df = t[order], halves[order], k[order], n[order], df[order]
-    if not len(t):
-        return pd.DataFrame({"key": [], "n": [], "packed": []})
-    start = np.flatnonzero(np.concatenate(([True], (halves[1:] != halves[:-1]).any(1))))
-    ends = np.append(start[1:], len(t))
-    pairs = np.stack([t, np.minimum(df, 0xFFFFFFFF).astype(np.uint32)], 1)
-    return pd.DataFrame({"key": [k[a].tobytes() for a in start], "n": n[start].astype(np.int64), "packed": [pairs[a:b].tobytes() for a, b in zip(start, ends, strict=True)]})
-
-
-def memberships(docs: DataFrame, total: int, width: int, percent: int) -> DataFrame:
-    """region, key, n: the sets in the regions of the rare shingles of their prefixes, regions of two and more; of equal regions one."""
-    n_blocks = max(1, -(-total * (2 * (100 - percent)) // 100 // BLOCK))
-
-    def with_block(key: tuple, parts: pd.DataFrame) -> pd.DataFrame:
-        return _shared(parts).assign(block=key[0])
-
-    shared = prefix_blocks(docs, width, percent, n_blocks).repartition(n_blocks, "block").groupBy("block").applyInPandas(with_block, "key binary, n long, packed binary, block long")
-
-    def choose(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        regions, keys, sizes = [], [], []
-        for key, n, blocks, packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            pairs = [np.frombuffer(p, np.uint32).reshape(-1, 2).astype(np.int64) for p in packed]
-            token = np.concatenate([p[:, 0] + (b << 32) for p, b in zip(pairs, blocks, strict=True)])
-            df = np.concatenate([p[:, 1] for p in pairs])
-            length = 2 * slack(n, percent) + 1
-            # rarest first; shingles of no other set come before all these
-            take = length - need(n, percent) + 1 - (length - len(token))
-            if take > 0:
-                chosen = token[np.lexsort((token, df))[:take]]
-                regions += chosen.tolist()
-                keys += [key] * len(chosen)
-                sizes += [n] * len(chosen)
-        yield pa.RecordBatch.from_arrays([pa.array(regions, pa.int64()), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64())], ["region", "key", "n"])
-
-    per_set = shared.groupBy("key", "n").agg(F.collect_list("block").alias("blocks"), F.collect_list("packed").alias("packed"))  # a set's own prefix
-    found = materialize(arrow_map(per_set.select("key", "n", "blocks", "packed"), choose, "region long, key binary, n long"), "regions")
-    mark = F.xxhash64("key")
-    sums = found.groupBy("region").agg(F.count("*").alias("members"), F.sum(mark.cast("decimal(38,0)")).alias("a"), F.bit_xor(mark).alias("b")).where("members > 1")
-    kept = sums.groupBy("members", "a", "b").agg(F.min("region").alias("region"))
-    return materialize(found.join(kept.select("region", "members"), "region"), "memberships")
+        k = np.frombuffer(p.names, np.int64)
+        signs.append(np.frombuffer(p.signs, np.uint32))
+        names.append(k[np.frombuffer(p.owner, np.uint16 if len(k) < 65536 else np.uint32)])
+        pairs.append(np.frombuffer(p.pairs, np.int64).reshape(-1, 2))
+    s, n, p = np.concatenate(signs), np.concatenate(names), np.concatenate(pairs)
+    known, index = np.unique(np.concatenate([n, p.ravel()]), return_inverse=True)
+    order = np.argsort(s, kind="stable")
+    s, owner = s[order], index[: len(n)][order]
+    same = s[1:] == s[:-1]
+    a, b = np.concatenate([owner[:-1][same], index[len(n) :: 2]]), np.concatenate([owner[1:][same], index[len(n) + 1 :: 2]])
+    label = hanging(len(known), a, b)
+    moved = np.flatnonzero(label != np.arange(len(label)))
+    return pd.DataFrame({"a": known[label[moved]], "b": known[moved]})
+
+
+def regions(docs: DataFrame, groups: DataFrame, total: int, width: int, percent: int) -> DataFrame:
+    """id, component: the sets that hang together by signatures, those with company only."""
+    # a set of n shingles has about 2.2 * n * (100 - percent) / 85 signatures
+    blocks = max(LEAST_BLOCKS, -(-total * 22 * (100 - percent) // 850 // BLOCK))
+    found = signature_blocks(docs, width, percent, blocks).repartition(blocks, "block").groupBy("block").applyInPandas(_bound, "a long, b long")
+    edges = materialize(found.distinct(), "edges")
+    # sets that share 64 bits of their key are taken as hanging together
+    twins = groups.groupBy("short").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a != b").select("a", "b")
+    one = groups.groupBy("short").agg(F.min("rep").alias("rep"))
+    named = edges.join(one.select(F.col("short").alias("a"), F.col("rep").alias("x")), "a").join(one.select(F.col("short").alias("b"), F.col("rep").alias("y")), "b")
+    both = materialize(named.select(F.col("x").alias("a"), F.col("y").alias("b")).where("a != b").unionByName(twins), "rep-edges")
+    out = components(both)
+    discard(edges, both)
+    return out
 
 
 # --- pivots inside regions ----------------------------------------------------------------------
@@ -210,49 +277,123 @@ class Sets:
     def of(self, i: int) -> np.ndarray:
         return self.vocabulary[self.flat[self.starts[i] : self.starts[i] + self.sizes[i]]]
 
+    def some(self, members: np.ndarray, marks: np.ndarray) -> np.ndarray:
+        """How many marked shingles each of the members has."""
+        flat = np.concatenate([self.flat[self.starts[i] : self.starts[i] + self.sizes[i]] for i in members])
+        sizes = self.sizes[members]
+        return np.add.reduceat(marks[flat], np.concatenate(([0], np.cumsum(sizes)[:-1])))
 
-def leaf_links(reps: np.ndarray, known: np.ndarray, tokens: list[bytes], percent: int) -> list[tuple[int, int]]:
-    """Links that span the components of a small region; ``known`` members hang together already.
 
-    Each step takes a member as pivot and links it with its whole ball. Known
-    members are no pivots, and members of the component that holds most are none
-    once all known members are in it. So of two members of different components,
-    one has been a pivot, and no link between components is missed.
+class RegionJoin:
+    """The links that span the components of one region in memory; ``known`` members hang together already.
+
+    Sizes of intersections are whole numbers, so the radius is exact; windows are
+    a little wide for the rounding of distances.
     """
-    parent = list(range(len(reps)))
 
-    def root(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
+    def __init__(self, reps: np.ndarray, known: np.ndarray, tokens: list[bytes], percent: int):
+        self.reps, self.percent, self.radius = reps, percent, (100 - percent) / 100
+        self.sets, self.parent, self.links, self.cells, self.fresh = Sets(tokens), list(range(len(reps))), [], 0, 0
+        first = np.flatnonzero(known)
+        for i in first[1:]:
+            self.link(int(first[0]), int(i), False)
+
+    def root(self, i: int) -> int:
+        while self.parent[i] != i:
+            self.parent[i] = self.parent[self.parent[i]]
+            i = self.parent[i]
         return i
 
-    out, size = [], [1] * len(reps)
-
-    def link(i: int, j: int) -> bool:
-        i, j = root(i), root(j)
-        if i == j:
-            return False
-        if size[i] < size[j]:
-            i, j = j, i
-        parent[j] = i
-        size[i] += size[j]
-        return True
-
-    first = np.flatnonzero(known)
-    for i in first[1:]:
-        link(int(first[0]), int(i))
-    sets, todo = Sets(tokens), [i for i in range(len(reps)) if not known[i]]
-    largest = max(size)
-    for i in sorted(todo, key=lambda i: (-sets.sizes[i], reps[i])):
-        if size[root(i)] == largest and 2 * largest > len(reps) and (not len(first) or root(first[0]) == root(i)):
-            continue  # in the component that holds most, which it doesn't leave any more, as are all members that are no pivots
-        both = sets.shared(sets.of(i))
-        for j in np.flatnonzero(100 * both >= percent * (sets.sizes + sets.sizes[i] - both)).tolist():
-            if link(i, j):
-                out.append((int(reps[i]), int(reps[j])))
-        largest = max(largest, size[root(i)])
-    return out
+    def link(self, i: int, j: int, told: bool = True) -> None:
+        a, b = self.root(i), self.root(j)
+        if a != b:
+            self.parent[b] = a
+            if told:
+                self.links.append((int(self.reps[i]), int(self.reps[j])))
+
+    def ball(self, pivot: int, members: np.ndarray) -> np.ndarray:
+        """Link a pivot with the members within the radius; the distances of all members."""
+        marks = np.zeros(len(self.sets.vocabulary), np.int64)
+        at = self.sets.starts[pivot]
+        marks[self.sets.flat[at : at + self.sets.sizes[pivot]]] = 1
+        both = self.sets.some(members, marks)
+        union = self.sets.sizes[members] + self.sets.sizes[pivot] - both
+        for j in members[100 * both >= self.percent * union].tolist():
+            self.link(pivot, j)
+        return 1 - both / union
+
+    def run(self) -> list[tuple[int, int]]:
+        todo = [np.arange(len(self.reps))]
+        while todo:
+            members = todo.pop()
+            roots = np.array([self.root(i) for i in members.tolist()])
+            if (roots == roots[0]).all():
+                continue  # no link here joins what isn't joined
+            if len(members) <= FEW:
+                self.compare(members, roots)
+                continue
+            pivots = self.choose(members, roots)
+            d = np.stack([self.ball(p, members) for p in pivots], 1)
+            roots = np.array([self.root(i) for i in members.tolist()])
+            if (roots == roots[0]).all():
+                continue
+            home = d.argmin(1)
+            near = d[np.arange(len(members)), home]
+            cells = []
+            for p in range(len(pivots)):
+                cell = home == p
+                if not cell.any():
+                    continue
+                # a linked pair of two cells meets in the first: d(y, p) <= d(y, home) + 2r and <= the cell's extent + r
+                window = (home > p) & (d[:, p] <= np.minimum(near + 2 * self.radius, near[cell].max() + self.radius) + 1e-9)
+                rest = members[(cell | window) & ~np.isin(members, pivots)]  # pivots have met all
+                if len(rest) > 1:
+                    cells.append(rest)
+            self.cells += len(cells)
+            if not any(len(c) > 0.9 * len(members) for c in cells):
+                todo += cells
+                continue
+            # no pivot parts these; fresh signatures may, without loss
+            rest = members[~np.isin(members, pivots)]
+            self.fresh += 1
+            parted = self.parted(rest)
+            if len(parted) == 1:
+                self.compare(rest, np.array([self.root(i) for i in rest.tolist()]))
+            else:
+                todo += [x for x in parted if len(x) > 1]
+        return self.links
+
+    def parted(self, members: np.ndarray) -> list[np.ndarray]:
+        """The members that hang together by signatures under a hash of their own."""
+        seed = np.uint64(self.fresh * 0xD1B54A32D192ED03 & (1 << 64) - 1)
+        signs = [signatures(np.sort(_mixed(self.sets.of(i) ^ seed)), self.percent) for i in members.tolist()]
+        if not sum(map(len, signs)):
+            return [members[i : i + 1] for i in range(len(members))]
+        label, _, _ = together(np.concatenate(signs), np.repeat(np.arange(len(signs)), [len(s) for s in signs]), len(members))
+        return [members[label == x] for x in np.unique(label)]
+
+    def choose(self, members: np.ndarray, roots: np.ndarray) -> np.ndarray:
+        """Pivots: of different components as far as there are, by size, about the square root of the members."""
+        count = min(PIVOTS, max(2, int(len(members) ** 0.5)))
+        order = members[np.lexsort((self.reps[members], -self.sets.sizes[members]))]
+        _, first = np.unique([self.root(i) for i in order.tolist()], return_index=True)
+        leading = np.sort(first)[:count]
+        others = np.setdiff1d(np.linspace(0, len(order) - 1, count).astype(int), leading)
+        return order[np.concatenate([leading, others])[:count]]
+
+    def compare(self, members: np.ndarray, roots: np.ndarray) -> None:
+        """Each member not of the component that holds most becomes a pivot of the others; of two of different components one is such a member."""
+        values, counts = np.unique(roots, return_counts=True)
+        main = values[counts.argmax()]
+        for i in members[roots != main].tolist():
+            left = np.array([j for j in members.tolist() if self.root(j) != self.root(i)])
+            if len(left):
+                self.ball(i, left)
+
+
+def leaf_links(reps: np.ndarray, known: np.ndarray, tokens: list[bytes], percent: int) -> list[tuple[int, int]]:
+    """Links that span the components of a region that fits in memory, by recursive Voronoi cells; ``known`` members hang together already."""
+    return RegionJoin(reps, known, tokens, percent).run()
 
 
 def join_leaves(members: DataFrame, percent: int) -> DataFrame:
@@ -283,22 +424,31 @@ def join_leaves(members: DataFrame, percent: int) -> DataFrame:
 
 
 def voronoi(members: DataFrame, sizes: DataFrame, percent: int, leaf: int, round_: int) -> tuple[DataFrame, DataFrame]:
-    """(links, members of the cells) of large regions. The members of a region are salted, its pivots copied to each salt."""
+    """(links, members of the cells) of large regions. The members of a region are salted, its pivots copied to each salt.
+
+    Pivots are members not known to hang together with the region's largest
+    component; a pivot meets all members, so it is settled and leaves the region.
+    Other unknown members go to all cells in their window, known ones to the cell
+    of their own pivot. Cells without an unknown member are done.
+    """
     draw = F.xxhash64("rep", F.lit(round_))
-    sized = members.join(sizes, "region").withColumn("salts", F.ceil(F.col("members") / leaf).cast("int"))
-    drawn = sized.where(F.pmod(draw, F.col("members")) < PIVOTS).select("region", "salts", "rep", "tokens", draw.alias("draw"))
-    bundle = drawn.groupBy("region").agg(F.first("salts").alias("salts"), F.slice(F.sort_array(F.collect_list(F.struct("draw", "rep", "tokens"))), 1, 62).alias("pivots"))  # PIVOTS on average
+    sized = members.join(sizes, "region").withColumn("salts", F.ceil(F.col("bytes") / leaf).cast("int"))
+    # at most as many as fit in a task beside the members it holds
+    drawn = sized.where(~F.col("known") & (F.pmod(draw, F.col("unknown")) < PIVOTS)).select("region", "salts", "rep", "tokens", draw.alias("draw"))
+    first = sized.where(~F.col("known")).groupBy("region").agg(F.first("salts").alias("salts"), F.min(F.struct(draw.alias("draw"), "rep", "tokens")).alias("first"))
+    some = drawn.groupBy("region").agg(F.slice(F.sort_array(F.collect_list(F.struct("draw", "rep", "tokens"))), 1, 62).alias("pivots"))  # PIVOTS on average
+    bundle = first.join(some, "region", "left").select("region", "salts", F.coalesce("pivots", F.array("first")).alias("pivots"))
     copies = materialize(bundle, "pivots").select("region", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "pivots")
     salted = sized.withColumn("salt", F.pmod(F.xxhash64("rep"), F.col("salts")).cast("int")).select("region", "salt", "rep", "n", "known", "tokens")
     radius = (100 - percent) / 100
 
     def run(key: tuple, rows: pd.DataFrame, pivots: pd.DataFrame) -> pd.DataFrame:
         if rows.empty:
-            return pd.DataFrame(columns=["region", "rep", "n", "known", "tokens", "home", "windows", "balls", "linked"])
+            return pd.DataFrame(columns=["region", "rep", "n", "known", "tokens", "settled", "home", "windows", "balls", "linked"])
         held = list(pivots["pivots"].iloc[0]) if len(pivots) else []
         out = rows[["region", "rep", "n", "known", "tokens"]].copy()
         if not held:
-            return out.assign(home=0, windows=0, balls=0, linked=[[] for _ in range(len(out))])
+            return out.assign(settled=False, home=0, windows=0, balls=0, linked=[[] for _ in range(len(out))])
         sets = Sets(list(rows["tokens"]))
         close, d = [], []
         for p in held:
@@ -312,9 +462,9 @@ def voronoi(members: DataFrame, sizes: DataFrame, percent: int, leaf: int, round
         bits = 1 << np.arange(len(held), dtype=np.int64)
         window = d <= d.min(1)[:, None] + 2 * radius + 1e-9
         ids = np.array([p["rep"] for p in held])
-        return out.assign(home=home, windows=(window * bits).sum(1), balls=(close * bits).sum(1), linked=[ids[c].tolist() for c in close])
+        return out.assign(settled=np.isin(rows["rep"], ids), home=home, windows=(window * bits).sum(1), balls=(close * bits).sum(1), linked=[ids[c].tolist() for c in close])
 
-    measured = materialize(salted.groupBy("region", "salt").cogroup(copies.groupBy("region", "salt")).applyInPandas(run, MEMBERS + ", home int, windows long, balls long, linked array<bigint>"), "measured")
+    measured = materialize(salted.groupBy("region", "salt").cogroup(copies.groupBy("region", "salt")).applyInPandas(run, MEMBERS + ", settled boolean, home int, windows long, balls long, linked array<bigint>"), "measured")
     links = measured.select(F.col("rep").alias("a"), F.explode("linked").alias("b")).where("a != b")
 
     def merge(key: tuple, masks: pd.DataFrame) -> pd.DataFrame:
@@ -330,37 +480,28 @@ def voronoi(members: DataFrame, sizes: DataFrame, percent: int, leaf: int, round
             groups.append([mask, int(n)])
         return pd.DataFrame({"region": [key[0]], "main": [max(groups, key=lambda g: (bool(g[0] >> 62), g[1]))[0]]})
 
+    # a row for each set of balls that some member is in, at most
     masks = measured.where("balls != 0 OR known").groupBy("region", "balls", "known").agg(F.count("*").alias("n"))
     main = masks.groupBy("region").applyInPandas(merge, "region string, main long")
-    told = measured.join(main, "region", "left").withColumn("known", F.col("known") | (F.coalesce(F.col("balls").bitwiseAND(F.col("main")), F.lit(0)) != 0))
+    told = measured.where("NOT settled").join(main, "region", "left").withColumn("known", F.col("known") | (F.coalesce(F.col("balls").bitwiseAND(F.col("main")), F.lit(0)) != 0))
     cells = F.when(F.col("known"), F.array(F.col("home"))).otherwise(F.array_union(F.array("home"), F.filter(F.sequence(F.lit(0), F.lit(61)), lambda i: F.getbit("windows", i) == 1)))
     spread = materialize(told.select("region", "rep", "n", "known", "tokens", F.explode(cells).alias("cell")).select(F.concat_ws(".", "region", "cell").alias("region"), "rep", "n", "known", "tokens"), "cells")
     open_ = spread.groupBy("region").agg(F.count_if(~F.col("known")).alias("unknown"), F.count("*").alias("all")).where("unknown > 0 AND all > 1").select("region")
     return links, materialize(spread.join(open_, "region", "left_semi"), "open-cells")
 
 
-def blocks(members: DataFrame, sizes: DataFrame, leaf: int) -> DataFrame:
-    """Regions that pivots couldn't split: every chunk of unknown members with every chunk of all, bounded and exact."""
-    sized = members.join(sizes, "region").withColumn("chunks", F.ceil(F.col("members") / leaf).cast("int")).withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("chunks")))
-    others = F.sequence(F.lit(0), F.col("chunks") - 1)
-    sides = F.explode(F.when(F.col("known"), F.transform(others, lambda c: F.concat_ws("/", F.col("mine"), c))).otherwise(F.array_union(F.transform(others, lambda c: F.concat_ws("/", F.col("mine"), c)), F.transform(others, lambda c: F.concat_ws("/", c, F.col("mine"))))))
-    return sized.select("region", "rep", "n", "known", "tokens", sides.alias("side")).select(F.concat_ws("#", "region", "side").alias("region"), "rep", "n", "known", "tokens")
-
-
-def region_links(members: DataFrame, percent: int, leaf: int = LEAF, rounds: int = ROUNDS) -> DataFrame:
-    """Links that span the components of all regions' exact joins. Ends early when no region is large."""
-    found = []
-    for round_ in range(rounds + 1):
-        sizes = materialize(members.groupBy("region").agg(F.count("*").alias("members")).where(F.col("members") > leaf), "large")
-        large = members.join(sizes.select("region"), "region", "left_semi")
+def region_links(members: DataFrame, percent: int, leaf: int = LEAF_BYTES) -> DataFrame:
+    """Links that span the components of all regions' exact joins. Regions over ``leaf`` bytes are split, round by round, until none is left."""
+    found, round_ = [], 0
+    while True:
+        of = members.groupBy("region").agg(F.sum(8 * F.col("n")).alias("bytes"), F.count_if(~F.col("known")).alias("unknown"))
+        sizes = materialize(of.where(F.col("bytes") > leaf), "large")
         found.append(join_leaves(members.join(sizes.select("region"), "region", "left_anti"), percent))
         if sizes.isEmpty():
             break
-        if round_ == rounds:
-            found.append(join_leaves(blocks(large, sizes, leaf), percent))
-            break
-        links, members = voronoi(large, sizes, percent, leaf, round_)
+        links, members = voronoi(members.join(sizes.select("region"), "region", "left_semi"), sizes, percent, leaf, round_)
         found.append(links)
+        round_ += 1
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)
@@ -373,51 +514,48 @@ def region_links(members: DataFrame, percent: int, leaf: int = LEAF, rounds: int
 def components(links: DataFrame) -> DataFrame:
     """id, component (the smallest id reachable) of every id in a link; minimum labels with pointer jumping, until nothing changes."""
     edges = materialize(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))), "edges")
-    labels = materialize(edges.groupBy(F.col("a").alias("id")).agg(F.least(F.first("a"), F.min("b")).alias("component")), "labels")
+    table_ = labels = materialize(edges.groupBy(F.col("a").alias("id")).agg(F.least(F.first("a"), F.min("b")).alias("component")), "labels")
     while True:
         near = edges.join(labels, edges.b == labels.id).groupBy("a").agg(F.min("component").alias("near"))
         best = labels.join(near, labels.id == near.a).select("id", "component", F.least("component", "near").alias("best"))
         up = labels.select(F.col("id").alias("best"), F.col("component").alias("above"))
         moved = materialize(best.join(up, "best", "left").select("id", "component", F.least("best", F.coalesce("above", "best")).alias("next")), "labels")
-        labels = moved.select("id", F.col("next").alias("component"))
+        discard(table_)
+        table_, labels = moved, moved.select("id", F.col("next").alias("component"))
         if moved.where("next != component").isEmpty():
+            discard(edges)
             return labels
 
 
-def ngram_jaccard_join(docs: DataFrame, width: int = 5, percent: int = 80, leaf: int = LEAF) -> DataFrame:
+def ngram_jaccard_join(docs: DataFrame, width: int = 5, percent: int = 80, leaf: int = LEAF_BYTES) -> DataFrame:
     """doc_id, n_shingles, component_id of every row: the smallest id that links lead to, where 100 * intersection >= percent * union.
 
     Equal sets link at once. Texts without words, nulls among them, link with
     nothing, nor do rows without an id, whose component is null. Rows that
-    repeat with one id are one document for links.
+    repeat with one id are one document for links. An empty table gives no rows;
+    columns other than doc_id and text are not read.
     """
     sets = materialize(set_table(docs, width), "sets")
-    groups = materialize(sets.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n")), "groups")
+    groups = materialize(sets.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("key", "short").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n")), "groups")
     total = groups.agg(F.sum("n")).first()[0] or 0
-    found = memberships(docs, total, width, percent)
-    placed = materialize(found.select("region", "key").join(groups, "key"), "placed")
-    # regions that hang together make clusters; one of bounded size is joined whole, so that its sets are sent once
-    least = placed.groupBy("region").agg(F.min("rep").alias("a"))
-    clusters = components(placed.join(least, "region").where("a != rep").select("a", F.col("rep").alias("b")).distinct())
-    small = clusters.groupBy("component").agg(F.count("*").alias("size")).where(F.col("size") <= leaf)
-    whole_clusters = materialize(clusters.join(small, "component").select(F.col("id").alias("rep"), F.concat(F.lit("c"), "component").alias("region")), "clusters")
-    spread = placed.select("rep", F.col("region").cast("string").alias("region")).join(whole_clusters.select("rep"), "rep", "left_anti")
-    wanted = placed.select(F.col("rep").alias("doc_id"), "key", "n").distinct()
+    clusters = regions(docs, groups, total, width, percent)
+    wanted = clusters.join(groups, clusters.id == groups.rep).select(F.col("rep").alias("doc_id"), "key", "n", F.col("component").cast("string").alias("region"))
 
     def tokens(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows = []
-        for rep, key, n, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for rep, key, n, region, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             s = shingles(text, width)
             if set_key(s) == key:
-                rows.append((rep, key, n, s.tobytes()))
-        kinds = [pa.int64(), pa.binary(), pa.int64(), pa.binary()]
-        columns = zip(*rows, strict=True) if rows else [[]] * 4
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["rep", "key", "n", "tokens"])
-
-    texts = wanted.hint("merge").join(docs.select("doc_id", "text"), "doc_id").select("doc_id", "key", "n", "text")
-    whole = materialize(arrow_map(texts, tokens, "rep long, key binary, n long, tokens binary"), "whole")
-    members = whole_clusters.unionByName(spread).join(whole, "rep").select("region", "rep", "n", F.lit(False).alias("known"), "tokens")
-    classes = components(region_links(members, percent, leaf))
+                rows.append((region, rep, n, False, s.tobytes()))
+        kinds = [pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.binary()]
+        columns = zip(*rows, strict=True) if rows else [[]] * 5
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["region", "rep", "n", "known", "tokens"])
+
+    texts = wanted.hint("merge").join(docs.select("doc_id", "text"), "doc_id").select("doc_id", "key", "n", "region", "text")
+    members = materialize(arrow_map(texts, tokens, MEMBERS).dropDuplicates(["region", "rep"]), "members")
+    links = region_links(members, percent, leaf)
+    classes = components(links)
+    discard(members, links)
     by_key = groups.join(classes, groups.rep == classes.id, "left").select("key", F.coalesce("component", "rep").alias("component"))
     joined = sets.hint("merge").join(by_key, "key", "left")
     alone = (F.col("n_shingles") == 0) | F.col("doc_id").isNull()
@@ -425,4 +563,21 @@ def ngram_jaccard_join(docs: DataFrame, width: int = 5, percent: int = 80, leaf:
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contract's join of ``documents``: sets of four words, 85 % and more."""
     return ngram_jaccard_join(table(spark, sf_dir, "documents"), width=4, percent=85)
+
+
+#: Self-join by shingles, then reachability by the smallest id of a component. Shingles are joined by a sign that no word holds.
+OP1_SQL = r"""
+WITH RECURSIVE base AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+shingle AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+                 ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3])) END AS s FROM base),
+sized AS (SELECT doc_id, CAST(len(s) AS BIGINT) AS n, s FROM shingle),
+flat AS (SELECT doc_id, n, unnest(s) AS t FROM sized),
+pairs AS (SELECT a.doc_id AS a, b.doc_id AS b FROM flat a JOIN flat b ON a.t = b.t AND a.doc_id != b.doc_id AND 100 * a.n >= 85 * b.n AND 100 * b.n >= 85 * a.n
+          GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+reach AS (SELECT doc_id AS id, doc_id AS least FROM documents UNION SELECT pairs.b, reach.least FROM reach JOIN pairs ON pairs.a = reach.id AND reach.least < pairs.b)
+SELECT doc_id, n AS n_shingles, coalesce((SELECT min(least) FROM reach WHERE id = doc_id), doc_id) AS component_id FROM sized
+"""

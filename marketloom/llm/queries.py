@@ -26,6 +26,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_ngram_jaccard_join": jaccard.OP1_SQL,
         "op3_substring_dedup": substring_dedup.OP3_SQL,
         "op5_chat_formatting": chat.OP5_SQL,
         "op8_exact_dedup": exact_dedup.OP8_SQL,

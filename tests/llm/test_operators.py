@@ -39,7 +39,7 @@ def brute_components(rows, width, percent):
     return {i: (len(s), root(i)) for i, s in sets.items()}
 
 
-@pytest.mark.parametrize("leaf", [4096, 30])
+@pytest.mark.parametrize("leaf", [jaccard.LEAF_BYTES, 4_000])  # bytes; the small one splits regions over tasks
 def test_jaccard_join(spark, leaf):
     rnd = random.Random(1)
     words = [f"w{k}" for k in range(900)]
@@ -62,6 +62,39 @@ def components_of(n, links):
     return {frozenset(i for i in range(n) if label[i] == x) for x in label}
 
 
+@pytest.mark.parametrize("percent", [80, 85])
+def test_linked_sets_share_a_signature(percent):
+    rnd, met = random.Random(8), 0
+    for _ in range(2500):
+        x = {rnd.getrandbits(64) for _ in range(rnd.choice([1, 2, 3, 5, 8, 13, 30, 60, 150, 400, 1500]))}
+        y = set(x)
+        for _ in range(rnd.randint(0, max(1, len(x) * (100 - percent) // percent))):
+            if len(y) > 1 and rnd.random() < 0.6:
+                y.discard(next(iter(y)))
+            if rnd.random() < 0.6:
+                y.add(rnd.getrandbits(64))
+        if x != y and 100 * len(x & y) >= percent * len(x | y):
+            a, b = (jaccard.signatures(np.array(sorted(s), np.uint64), percent) for s in (x, y))
+            assert len(np.intersect1d(a, b))
+            met += 1
+    assert met > 1000
+
+
+def test_regions_are_joined_by_voronoi_cells():
+    rnd, cells = random.Random(9), 0
+    for _ in range(150):
+        base, pool = list(range(rnd.randint(20, 60))), set()
+        for _ in range(rnd.randint(2, 60)):
+            b = rnd.choice([base, base[:-6] + [200 + i for i in range(6)], base[:-12] + [300 + i for i in range(12)]])
+            pool.add(frozenset(x if rnd.random() < 0.94 else rnd.randrange(400, 440) for x in b))
+        sets = list(pool)
+        near = [(a, b) for b in range(len(sets)) for a in range(b) if 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])]
+        region = jaccard.RegionJoin(np.arange(len(sets)), np.zeros(len(sets), bool), [np.array(sorted(s), np.uint64).tobytes() for s in sets], 85)
+        assert components_of(len(sets), region.run()) == components_of(len(sets), near)
+        cells += region.cells
+    assert cells > 100
+
+
 def test_leaf_links_bridge_known_members():
     rnd = random.Random(6)
     for case in range(400):
