@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from .common import arrow_map, discard, materialize, table, word_digests
 
 #: Bytes of the sets that one task joins; pivots of a larger region in a round (at most 62); members of a cell that are compared one by one.
-LEAF_BYTES, PIVOTS, FEW = 16 << 20, 24, 8
+LEAF_BYTES, PIVOTS, FEW = 32 << 20, 24, 8
 #: Signatures that one task groups, that a writing task holds at once, and groups at least.
 BLOCK, HELD, LEAST_BLOCKS = 1_500_000, 2_000_000, 64
 MEMBERS = "region string, rep long, n long, known boolean, tokens binary"
@@ -382,13 +382,44 @@ class RegionJoin:
         return order[np.concatenate([leading, others])[:count]]
 
     def compare(self, members: np.ndarray, roots: np.ndarray) -> None:
-        """Each member not of the component that holds most becomes a pivot of the others; of two of different components one is such a member."""
+        """Each member not of the component that holds most becomes a pivot of the others; of two of different components one is such a member.
+
+        Members are told by what they lack of a centre or have beside it. Of these
+        differences, with a list of members each, x and y share s(x, y), and their
+        intersection is |centre| - lacking(x) - lacking(y) + s(x, y). So a pivot's
+        distances cost as many steps as its differences occur, not all shingles.
+        """
         values, counts = np.unique(roots, return_counts=True)
         main = values[counts.argmax()]
-        for i in members[roots != main].tolist():
-            left = np.array([j for j in members.tolist() if self.root(j) != self.root(i)])
-            if len(left):
-                self.ball(i, left)
+        others = np.flatnonzero(roots != main)
+        if not len(others):
+            return
+        sizes = self.sets.sizes[members]
+        at, owner = [], []
+        for k, i in enumerate(members.tolist()):
+            at.append(self.sets.flat[self.sets.starts[i] : self.sets.starts[i] + self.sets.sizes[i]])
+            owner.append(np.full(len(at[-1]), k))
+        flat, owner = np.concatenate(at), np.concatenate(owner)
+        order = np.argsort(flat, kind="stable")
+        flat, owner = flat[order], owner[order]
+        begin = np.flatnonzero(np.concatenate(([True], flat[1:] != flat[:-1])))
+        ends = np.append(begin[1:], len(flat))
+        centre = 2 * (ends - begin) > len(members)  # the shingles that most members have
+        everyone = np.arange(len(members))
+        lists = [np.setdiff1d(everyone, owner[a:b], assume_unique=True) if c else owner[a:b] for a, b, c in zip(begin, ends, centre, strict=True)]
+        held = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+        who = np.concatenate(lists)
+        lacking = np.bincount(np.concatenate([x for x, c in zip(lists, centre, strict=True) if c] or [np.zeros(0, np.int64)]), minlength=len(members))
+        by = np.argsort(who, kind="stable")
+        mine, first = held[by], np.concatenate(([0], np.cumsum(np.bincount(who, minlength=len(members)))))
+        whole = int(centre.sum())
+        for k in others.tolist():
+            own = mine[first[k] : first[k + 1]]
+            same = np.bincount(np.concatenate([lists[t] for t in own]), minlength=len(members)) if len(own) else np.zeros(len(members), np.int64)
+            both = whole - lacking[k] - lacking + same
+            union = sizes + sizes[k] - both
+            for j in np.flatnonzero(100 * both >= self.percent * union).tolist():
+                self.link(int(members[k]), int(members[j]))
 
 
 def leaf_links(reps: np.ndarray, known: np.ndarray, tokens: list[bytes], percent: int) -> list[tuple[int, int]]:
