@@ -33,7 +33,7 @@ from .common import arrow_map, discard, materialize, table, word_digests
 #: Bytes of the sets that one task joins; pivots of a larger region in a round (at most 62); members of a cell that are compared one by one.
 LEAF_BYTES, PIVOTS, FEW = 32 << 20, 24, 8
 #: Signatures that one task groups, that a writing task holds at once, and groups at least.
-BLOCK, HELD, LEAST_BLOCKS = 1_500_000, 2_000_000, 64
+BLOCK, HELD, LEAST_BLOCKS = 3_000_000, 2_000_000, 32
 MEMBERS = "region string, rep long, n long, known boolean, tokens binary"
 
 
@@ -238,19 +238,38 @@ def _bound(parts: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"a": known[label[moved]], "b": known[moved]})
 
 
+#: Edges that one task contracts.
+EDGES = 4_000_000
+
+
+def forest(edges: DataFrame) -> DataFrame:
+    """a, b: fewer edges that hang the same numbers together; a task reduces all its edges to a spanning forest."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.stack([b.column(i).to_numpy() for i in (0, 1)]) for b in batches if b.num_rows]
+        if held:
+            known, index = np.unique(np.concatenate(held, axis=1), return_inverse=True)
+            label = hanging(len(known), *index.reshape(2, -1))
+            moved = np.flatnonzero(label != np.arange(len(label)))
+            yield pa.RecordBatch.from_arrays([pa.array(known[label[moved]]), pa.array(known[moved])], ["a", "b"])
+
+    return edges.select("a", "b").repartition(max(1, -(-edges.count() // EDGES)), "a").mapInArrow(run, "a long, b long")
+
+
 def regions(docs: DataFrame, groups: DataFrame, total: int, width: int, percent: int) -> DataFrame:
     """id, component: the sets that hang together by signatures, those with company only."""
     # a set of n shingles has about 2.2 * n * (100 - percent) / 85 signatures
     blocks = max(LEAST_BLOCKS, -(-total * 22 * (100 - percent) // 850 // BLOCK))
     found = signature_blocks(docs, width, percent, blocks).repartition(blocks, "block").groupBy("block").applyInPandas(_bound, "a long, b long")
-    edges = materialize(found.distinct(), "edges")
+    found = materialize(found, "found")
+    edges = materialize(forest(found), "edges")
     # sets that share 64 bits of their key are taken as hanging together
     twins = groups.groupBy("short").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a != b").select("a", "b")
     one = groups.groupBy("short").agg(F.min("rep").alias("rep"))
     named = edges.join(one.select(F.col("short").alias("a"), F.col("rep").alias("x")), "a").join(one.select(F.col("short").alias("b"), F.col("rep").alias("y")), "b")
     both = materialize(named.select(F.col("x").alias("a"), F.col("y").alias("b")).where("a != b").unionByName(twins), "rep-edges")
     out = components(both)
-    discard(edges, both)
+    discard(found, edges, both)
     return out
 
 
@@ -294,6 +313,7 @@ class RegionJoin:
     def __init__(self, reps: np.ndarray, known: np.ndarray, tokens: list[bytes], percent: int):
         self.reps, self.percent, self.radius = reps, percent, (100 - percent) / 100
         self.sets, self.parent, self.links, self.cells, self.fresh = Sets(tokens), list(range(len(reps))), [], 0, 0
+        self.marks = np.zeros(len(self.sets.vocabulary), np.int64)
         first = np.flatnonzero(known)
         for i in first[1:]:
             self.link(int(first[0]), int(i), False)
@@ -313,10 +333,11 @@ class RegionJoin:
 
     def ball(self, pivot: int, members: np.ndarray) -> np.ndarray:
         """Link a pivot with the members within the radius; the distances of all members."""
-        marks = np.zeros(len(self.sets.vocabulary), np.int64)
         at = self.sets.starts[pivot]
-        marks[self.sets.flat[at : at + self.sets.sizes[pivot]]] = 1
-        both = self.sets.some(members, marks)
+        own = self.sets.flat[at : at + self.sets.sizes[pivot]]
+        self.marks[own] = 1
+        both = self.sets.some(members, self.marks)
+        self.marks[own] = 0
         union = self.sets.sizes[members] + self.sets.sizes[pivot] - both
         for j in members[100 * both >= self.percent * union].tolist():
             self.link(pivot, j)
@@ -394,31 +415,33 @@ class RegionJoin:
         others = np.flatnonzero(roots != main)
         if not len(others):
             return
+        if len(members) <= FEW:
+            for i in members[others].tolist():
+                left = np.array([j for j in members.tolist() if self.root(j) != self.root(i)])
+                if len(left):
+                    self.ball(i, left)
+            return
         sizes = self.sets.sizes[members]
-        at, owner = [], []
-        for k, i in enumerate(members.tolist()):
-            at.append(self.sets.flat[self.sets.starts[i] : self.sets.starts[i] + self.sets.sizes[i]])
-            owner.append(np.full(len(at[-1]), k))
-        flat, owner = np.concatenate(at), np.concatenate(owner)
+        flat = np.concatenate([self.sets.flat[self.sets.starts[i] : self.sets.starts[i] + self.sets.sizes[i]] for i in members.tolist()])
+        owner = np.repeat(np.arange(len(members)), sizes)
         order = np.argsort(flat, kind="stable")
         flat, owner = flat[order], owner[order]
         begin = np.flatnonzero(np.concatenate(([True], flat[1:] != flat[:-1])))
-        ends = np.append(begin[1:], len(flat))
-        centre = 2 * (ends - begin) > len(members)  # the shingles that most members have
+        count = np.diff(np.append(begin, len(flat)))
+        centre = 2 * count > len(members)  # the shingles that most members have
         everyone = np.arange(len(members))
-        lists = [np.setdiff1d(everyone, owner[a:b], assume_unique=True) if c else owner[a:b] for a, b, c in zip(begin, ends, centre, strict=True)]
-        held = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
-        who = np.concatenate(lists)
-        lacking = np.bincount(np.concatenate([x for x, c in zip(lists, centre, strict=True) if c] or [np.zeros(0, np.int64)]), minlength=len(members))
-        by = np.argsort(who, kind="stable")
-        mine, first = held[by], np.concatenate(([0], np.cumsum(np.bincount(who, minlength=len(members)))))
+        lists = [np.setdiff1d(everyone, owner[a : a + n], assume_unique=True) for a, n in zip(begin[centre], count[centre], strict=True)]
+        lacking = np.bincount(np.concatenate(lists or [everyone[:0]]), minlength=len(members))
+        beside = ~centre & (count > 1)  # what one alone has is shared with no other
+        lists += [owner[a : a + n] for a, n in zip(begin[beside], count[beside], strict=True)]
+        held, who = np.repeat(np.arange(len(lists)), [len(x) for x in lists]), np.concatenate(lists or [everyone[:0]])
+        mine, first = held[np.argsort(who, kind="stable")], np.concatenate(([0], np.cumsum(np.bincount(who, minlength=len(members)))))
         whole = int(centre.sum())
         for k in others.tolist():
             own = mine[first[k] : first[k + 1]]
             same = np.bincount(np.concatenate([lists[t] for t in own]), minlength=len(members)) if len(own) else np.zeros(len(members), np.int64)
             both = whole - lacking[k] - lacking + same
-            union = sizes + sizes[k] - both
-            for j in np.flatnonzero(100 * both >= self.percent * union).tolist():
+            for j in np.flatnonzero(100 * both >= self.percent * (sizes + sizes[k] - both)).tolist():
                 self.link(int(members[k]), int(members[j]))
 
 
