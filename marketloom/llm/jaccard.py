@@ -33,7 +33,7 @@ from .common import arrow_map, discard, materialize, table, word_digests
 #: Bytes of the sets that one task joins; pivots of a larger region in a round (at most 62); members of a cell that are compared one by one.
 LEAF_BYTES, PIVOTS, FEW = 32 << 20, 24, 8
 #: Signatures that one task groups, that a writing task holds at once, and groups at least.
-BLOCK, HELD, LEAST_BLOCKS = 3_000_000, 2_000_000, 32
+BLOCK, HELD, LEAST_BLOCKS = 2_000_000, 2_000_000, 32
 MEMBERS = "region string, rep long, n long, known boolean, tokens binary"
 
 
@@ -172,7 +172,7 @@ def set_table(docs: DataFrame, width: int) -> DataFrame:
 
 
 def signature_blocks(docs: DataFrame, width: int, percent: int, blocks: int) -> DataFrame:
-    """Signatures dealt by hash range: block, signs (32 bits), owner, names (short keys), and pairs of names that hang together already.
+    """Signatures dealt by hash range: block, signs (40 bits, low four bytes first, then the fifth ones), owner, names (short keys), and pairs of names that hang together already.
 
     A task sends a signature once, however many of its sets have it; those hang
     together, which ``pairs`` say. So a group of near copies that fills a third of
@@ -195,7 +195,8 @@ def signature_blocks(docs: DataFrame, width: int, percent: int, blocks: int) ->
             pairs = np.stack([named[label[mine]], named[mine]], 1)
             if ends[b] < ends[b + 1] or len(pairs):
                 present, index = np.unique(owner[ends[b] : ends[b + 1]], return_inverse=True)
-                rows.append((b, (signs[ends[b] : ends[b + 1]] & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes(), index.astype(np.uint16 if len(present) < 65536 else np.uint32).tobytes(), named[present].tobytes(), pairs.tobytes()))
+                mine = signs[ends[b] : ends[b + 1]]
+                rows.append((b, mine.astype(np.uint32).tobytes() + (mine >> np.uint64(32)).astype(np.uint8).tobytes(), index.astype(np.uint16 if len(present) < 65536 else np.uint32).tobytes(), named[present].tobytes(), pairs.tobytes()))
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], ["block", "signs", "owner", "names", "pairs"])
 
@@ -224,7 +225,8 @@ def _bound(parts: pd.DataFrame) -> pd.DataFrame:
     signs, names, pairs = [], [], []
     for p in parts.itertuples():
         k = np.frombuffer(p.names, np.int64)
-        signs.append(np.frombuffer(p.signs, np.uint32))
+        count = len(p.signs) // 5
+        signs.append(np.frombuffer(p.signs, np.uint32, count) | np.frombuffer(p.signs, np.uint8, offset=4 * count).astype(np.uint64) << np.uint64(32))
         names.append(k[np.frombuffer(p.owner, np.uint16 if len(k) < 65536 else np.uint32)])
         pairs.append(np.frombuffer(p.pairs, np.int64).reshape(-1, 2))
     s, n, p = np.concatenate(signs), np.concatenate(names), np.concatenate(pairs)
