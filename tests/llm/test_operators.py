@@ -223,14 +223,43 @@ def test_redaction_keeps_columns(spark):
     assert [(r["doc_id"], r["text"], r["key"]) for r in out] == [(None, "", "k"), (1, "at <email>", "k"), (2, None, "k")]
 
 
-def test_substring_dedup(spark):
-    line = "one two three four five six seven eight nine ten"
-    rows = [(3, f"keep\n{line}\nend"), (1, line.upper()), (2, f"  {line.replace(' ', '  ')}\n{line}"), (4, "short line"), (5, "short line"), (6, None)]
-    removed = substring_dedup.removed_units(docs_of(spark, rows))
-    got = {(r["doc_id"], r["start"]): (r["kept_doc_id"], r["copies"]) for r in removed.collect()}
-    assert got == {(3, 5): (1, 4), (2, 0): (1, 4), (2, 60): (1, 4)}
-    clean = {r["doc_id"]: (r["text"], r["kept_spans"]) for r in substring_dedup.without(docs_of(spark, rows), removed).collect()}
-    assert clean[3] == ("keep\nend", [[0, 5], [54, 57]]) and clean[2] == ("", []) and clean[6] == ("", [])
+def brute_dedup(rows, min_words):
+    """Every run of units compared with every earlier one, by its words."""
+    found, gone = [], {}
+    for i, t in sorted({r for r in rows if r[0] is not None and r[1] is not None}):
+        units = [(m.start(), m.end(), m.group().encode().lower().split()) for m in re.finditer(r"[^.!?,;:\n]*[.!?,;:\n]+|[^.!?,;:\n]+", t)]
+        units = [u for u in units if u[2]]
+        for a in range(len(units)):
+            words = []
+            for b in range(a, len(units)):
+                words = words + units[b][2]
+                if len(words) >= min_words:
+                    if any(words == w for w in found):
+                        gone.setdefault(i, set()).update(range(units[a][0], units[b][1]))
+                    found.append(words)
+                    break
+    return {(i, t): (t if not gone.get(i) or t is None else "".join(c for k, c in enumerate(t) if k not in gone[i])) for i, t in rows}
+
+
+@pytest.mark.parametrize("held", [substring_dedup.HELD, 3])
+def test_substring_dedup(spark, held):
+    rnd = random.Random(12)
+    passage = "".join(rnd.choice(["one two, ", "Three four five. ", "six\n", "é seven; eight: ", "nine\n\nten! "]) for _ in range(12))
+    rows = [(None, passage), (50, None), (51, ""), (52, " \n.."), (53, "short line"), (54, "short line"), (None, None)]
+    for i in range(25):
+        own = "".join(f"w{rnd.randrange(10**6)}{rnd.choice([' ', ', ', '. ', chr(10)])}" for _ in range(rnd.randint(0, 30)))
+        rows.append((i, own + rnd.choice(["", passage, passage.upper(), passage[9:], passage.replace(" ", "  ")]) + own[: rnd.randint(0, 20)] + rnd.choice(["", passage])))
+    rows += [rows[-1], rows[-2]]
+    out = substring_dedup.substring_dedup(docs_of(spark, rows), 8, held).collect()
+    want = brute_dedup(rows, 8)
+    assert sorted((str(i), str(t)) for i, t in ((r["doc_id"], r["text"]) for r in out)) == sorted((str(i), str(want[i, t])) for i, t in rows)
+    texts = dict(rows)
+    for r in out:
+        if r["doc_id"] is not None and r["text"] is not None:
+            assert "".join(texts[r["doc_id"]][a:b] for a, b in r["kept_spans"]) == r["text"]
+            assert sorted(r["kept_spans"] + r["removed_spans"]) == r["kept_spans"] + r["removed_spans"] or len(r["removed_spans"]) > 0
+            assert sum(b - a for a, b in r["kept_spans"] + r["removed_spans"]) == len(texts[r["doc_id"]])
+    assert substring_dedup.substring_dedup(docs_of(spark, [])).count() == 0
 
 
 def test_chat(spark):
