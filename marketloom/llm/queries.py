@@ -21,6 +21,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_exact_dedup": exact_dedup.op8_exact_dedup,
         "op9_warc": warc.op9_warc,
         "op10_quality_rules": quality.op10_quality_rules,
+        # columns of op4 and op10 that SQL can express
+        "base_spans_of_op4": pii.base_counts,
+        "base_rules_of_op10": quality.base_rules,
     }
 
 
@@ -31,4 +34,6 @@ def oracle_sql() -> dict[str, str]:
         "op5_chat_formatting": chat.OP5_SQL,
         "op8_exact_dedup": exact_dedup.OP8_SQL,
         "op9_warc": warc.OP9_SQL,
+        "base_spans_of_op4": pii.BASE_SQL,
+        "base_rules_of_op10": quality.BASE_SQL,
     }

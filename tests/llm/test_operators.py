@@ -218,6 +218,60 @@ def test_field_finds_entities_at_every_offset():
         assert ("email", text.index("jane"), len(text) - 4) in pii.find(text, field)[1]
 
 
+def test_field_sums_over_all_segmentations():
+    rnd, names = np.random.default_rng(3), {}
+    text = "x 389-555-5010 4111111111111111 y@z.com"
+    truth = [("phone", 2, 14), ("card", 15, 31), ("email", 32, 39)]
+    chart = pii.Chart(text, truth, names)
+    w, moves = rnd.normal(size=len(names)), rnd.normal(size=(5, 5))
+    ends = [0, *(m.end() for m in pii.TOKEN.finditer(text))]
+    score = lambda k: w[chart.numbers[chart.mine == k]].sum()
+
+    def every(i):  # (segments, labels) from token i on
+        if i == chart.tokens:
+            yield (), ()
+            return
+        for segments, labels in every(i + 1):
+            yield segments, (0, *labels)
+        for j, y, k in chart.at[i]:
+            for segments, labels in every(j):
+                yield (k, *segments), (y, *labels)
+
+    found = list(every(0))
+    points = [sum(score(k) for k in segments) + sum(moves[a, b] for a, b in zip((0, *labels), labels)) for segments, labels in found]
+    p = np.exp(points)
+    z, share, steps = chart.posteriors(w, moves)
+    assert len(found) > 20 and np.isclose(z, p.sum())
+    assert np.allclose(share, [p[[k in segments for segments, _ in found]].sum() / z for k in range(len(share))])
+    assert np.isclose(steps[0, 0], sum(q * sum((a, b) == (0, 0) for a, b in zip((0, *labels), labels)) for q, (_, labels) in zip(p, found)) / z)
+    field = pii.SemiMarkov({name: w[k] for name, k in names.items()}, moves.tolist())
+    spans = field.decode(text)
+    best = found[int(np.argmax(points))][0]
+    named = {k: (pii.LABELS[y], ends[i], ends[j]) for i in range(chart.tokens) for j, y, k in chart.at[i]}
+    assert spans == [named[k] for k in best]
+
+
+def test_detection_of_odd_rows(spark):
+    crowd = "a@b.co; 4111 1111 1111 1111; +1 389 555 5010; 10.0.0.1; " * 2000
+    out = pii.detect(docs_of(spark, [(1, None), (2, ""), (None, "a@b.co"), (3, crowd), (3, crowd)])).collect()
+    got = sorted((str(r["doc_id"]), r["n_email"], r["n_ip"], r["n_card"], r["n_phone"]) for r in out)
+    assert got == [("1", 0, 0, 0, 0), ("2", 0, 0, 0, 0), ("3", 2000, 2000, 2000, 2000), ("3", 2000, 2000, 2000, 2000), ("None", 1, 0, 0, 0)]
+    empty = hashlib.sha256(b"").hexdigest()
+    assert {r["doc_id"]: (r["base_sha256"], r["spans"]) for r in out}[1] == (empty, "")
+    assert {r["doc_id"]: r["base_sha256"] for r in out}[None] == hashlib.sha256(b"email:0:6").hexdigest()
+    assert pii.detect(docs_of(spark, [])).count() == 0
+
+
+def test_base_cards_and_phones_equal_the_patterns():
+    rnd = random.Random(15)
+    for _ in range(4000):
+        t = "".join(rnd.choice("0123456789  -+(). \né4111") for _ in range(rnd.randint(0, 70)))
+        digits = lambda m: re.sub("[^0-9]", "", m.group())
+        cards = [("card", *m.span()) for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", t) if 16 <= len(digits(m)) <= 19 and pii.luhn(digits(m))]
+        phones = [("phone", *m.span()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", t) if 8 <= len(digits(m)) <= 15]
+        assert [s for s in pii.base_spans(t) if s[0] in ("card", "phone")] == cards + phones
+
+
 def test_redaction_keeps_columns(spark):
     out = pii.redact(docs_of(spark, [(1, "at x.y@z.com"), (2, None), (None, "")])).orderBy("doc_id").collect()
     assert [(r["doc_id"], r["text"], r["key"]) for r in out] == [(None, "", "k"), (1, "at <email>", "k"), (2, None, "k")]
@@ -327,20 +381,40 @@ def test_quality_trains_on_all_lines(spark, monkeypatch):
     assert [(len(x), y) for x, y in seen] == [(3200, 1), (1, 0)]
 
 
-def test_quality_blocks_add_up_to_one_gradient():
+def test_quality_expectations_equal_all_labellings():
     rnd = np.random.default_rng(4)
-    documents = sorted(((rnd.normal(size=(n, quality.FEATURES)), int(rnd.integers(2))) for n in (1, 2, 3, 5, 9, 40, 100)), key=lambda d: -len(d[0]))
-    lengths, labels = np.array([len(x) for x, _ in documents]), np.array([y for _, y in documents])
-    share = np.where(labels == 1, 0.5 / max(1, (labels == 1).sum()), 0.5 / max(1, (labels == 0).sum())) / lengths
-    x = np.zeros((lengths[0], len(documents), quality.FEATURES))
-    for k, (f, _) in enumerate(documents):
-        x[: len(f), k] = f
-    whole = quality.Field(np.zeros((quality.FEATURES, 2)), np.zeros((2, 2)))
-    for _ in range(5):
-        gw, gm = whole.gradient(x, lengths, labels, share)
-        whole.weights, whole.moves = whole.weights + 0.5 * (gw - 1e-3 * whole.weights), whole.moves + 0.5 * (gm - 1e-3 * whole.moves)
-    trained = quality.Field.train(documents, rounds=5)
-    assert np.allclose(trained.weights, whole.weights) and np.allclose(trained.moves, whole.moves)
+    field = quality.Field(rnd.normal(size=(quality.FEATURES, 2)), rnd.normal(size=(2, 2)))
+    lengths = np.array([5, 3])
+    s = rnd.normal(size=(5, 2, 2))
+    single, pairs = field.expected(s, lengths)
+    for d, n in enumerate(lengths):
+        every = [tuple(k >> t & 1 for t in range(n)) for k in range(2**n)]
+        p = np.exp([sum(s[t, d, y[t]] for t in range(n)) + sum(field.moves[y[t], y[t + 1]] for t in range(n - 1)) for y in every])
+        p /= p.sum()
+        for t in range(5):
+            assert np.allclose(single[t, d], [sum(q for q, y in zip(p, every) if t < n and y[t] == v) for v in (0, 1)])
+            assert np.allclose(pairs[t, d], [[sum(q for q, y in zip(p, every) if t + 1 < n and (y[t], y[t + 1]) == (v, w)) for w in (0, 1)] for v in (0, 1)])
+
+
+def test_quality_labels_lines_of_one_document_differently():
+    prose = lambda k: f"It was a plain day number {k} and the people went on with what they had begun before. They said so."
+    good = ["\n".join([prose(k) for k in range(i, i + 12)] + ["All rights reserved."]) for i in range(40)]
+    bad = ["\n".join(["Home | News | About | Contact | Help"] * 6 + [f"BUY!! NOW!! NUMBER!! {i}!!"] * 6) for i in range(40)]
+    lines = lambda t: quality.line_features(t.encode().split(b"\n"))[0]
+    field = quality.Field.train([(lines(t), 1) for t in good] + [(lines(t), 0) for t in bad])
+    mixed = "\n".join([*(prose(k) for k in range(100, 108)), *["Home | News | About | Contact | Help"] * 5])
+    assert field.viterbi(lines(mixed)).tolist() == [1] * 8 + [0] * 5
+    assert quality.judge(mixed, field)[-1] and not quality.judge(bad[0], field)[-1]
+    more = "\n".join([prose(1), *[f"Home | News | About | Contact | Help | Item {k} | Item {k + 1}" for k in range(30)]])
+    assert not quality.judge(more, field)[-1] and set(field.viterbi(lines(more)).tolist()) == {0, 1}
+
+
+def test_quality_of_odd_rows(spark):
+    docs = docs_of(spark, [(1, None), (None, "a b"), (2, ""), (2, ""), (3, "word " * 200_000)])
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    out = quality.score(docs, quality.train_field(docs, labels)).collect()
+    assert sorted((str(r["doc_id"]), r["n_words"], r["base_failed"], r["kept"]) for r in out) == [("1", 0, True, False), ("2", 0, True, False), ("2", 0, True, False), ("3", 200_000, True, False), ("None", 2, True, False)]
+    assert quality.score(docs_of(spark, []), quality.Field.train([])).count() == 0
 
 
 def test_trained_models_on_held_out_rows(spark):
