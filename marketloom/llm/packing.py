@@ -31,7 +31,8 @@ class Words(dict):
     """Ids of words as packed little-endian 32-bit integers; a word never spans ASCII white space, which the tokenizer drops.
 
     Plain Latin words are lower-cased and split here as the file says, and only
-    new pieces go to the library's model; all others go through the library whole.
+    new pieces go to the library's model; all others, and those that hold the name
+    of a special token, go through the library whole, which gives that token's id.
     """
 
     def __init__(self, body: str, limit: int = 250_000):
@@ -40,7 +41,8 @@ class Words(dict):
 
         super().__init__()
         self.limit, self.whole = limit, Tokenizer.from_str(body)
-        self.whole.encode_special_tokens = True  # their strings in a text are ordinary text
+        # the library finds these in a text before it splits or lower-cases anything
+        self.special = re.compile("|".join(re.escape(t.content) for t in self.whole.get_added_tokens_decoder().values()) or r"(?!)").search
         self.model = self.whole.model
         config = json.loads(body)
         steps = config["pre_tokenizer"]["pretokenizers"]
@@ -58,7 +60,7 @@ class Words(dict):
         if len(self) >= self.limit:
             self.clear()
         text = word.decode()
-        if self.plain(text):
+        if self.plain(text) and not self.special(text):
             ids = b"".join(map(self.pieces.__getitem__, self.find(text.lower())))
         else:
             ids = np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -220,7 +222,8 @@ def pack(pieces: DataFrame, size: int, buckets: int | None = None) -> DataFrame:
     """The pieces with sequence_id and offset. Pieces of one length are ranked in hash buckets, so that no length is sorted in one task."""
     spark = pieces.sparkSession
     buckets = buckets or max(1, -(-pieces.count() // 50_000))
-    dealt = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)).cast("int"))
+    # the checksum deals rows without an id too
+    dealt = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(buckets)).cast("int"))
     sums = dealt.groupBy("length", "bucket").agg(F.count("*").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     sums = materialize(sums.withColumn("before", before), "length-sums")
@@ -253,6 +256,7 @@ def best_fit_packing(docs: DataFrame, tokenizer_path: str, size: int = 2048) ->
 
 
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places of the pieces of all ``documents`` in sequences of 2048 ids."""
     import public_tokenizers
 
     return best_fit_packing(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))

@@ -6,12 +6,14 @@ import random
 import re
 
 import numpy as np
+import public_tokenizers as tokenizers
 import pytest
+import tiktoken
+import tokenizers as tokenizer_library
 from pyspark.sql import functions as F
 
 from marketloom.llm import byte_bpe, chat, exact_dedup, jaccard, packing, pii, quality, substring_dedup, toxicity, warc
 
-tokenizers = pytest.importorskip("public_tokenizers")
 DOCS = "doc_id long, text string, rank long, n long, key string, bucket string"
 
 
@@ -119,7 +121,6 @@ def test_jaccard_join_of_nothing(spark):
 
 
 def test_bpe_equals_the_library():
-    tiktoken = pytest.importorskip("tiktoken")
     ranks = byte_bpe.parse_ranks(open(tokenizers.path("byte_bpe_50k.tiktoken"), "rb").read())
     library = tiktoken.Encoding("own", pat_str=tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
     mine, rnd = byte_bpe.Codec(ranks, tokenizers.PATTERN), random.Random(2)
@@ -130,6 +131,24 @@ def test_bpe_equals_the_library():
         assert mine.decode(packed) == t.encode()
 
 
+def test_bpe_over_a_table(spark):
+    ranks = byte_bpe.parse_ranks(open(tokenizers.path("byte_bpe_50k.tiktoken"), "rb").read())
+    library = tiktoken.Encoding("own", pat_str=tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    rows = [(1, None), (2, ""), (None, "Null's id"), (3, "same  text\n"), (3, "same  text\n"), (4, "é日 x" * 30_000 + "a" * 50_000)]
+    path = tokenizers.path("byte_bpe_50k.tiktoken")
+    want = []
+    for i, t in rows:
+        ids = library.encode_ordinary(t or "")
+        want.append((str(i), len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest()))
+    got = byte_bpe.round_trip(docs_of(spark, rows), path, tokenizers.PATTERN).collect()
+    assert sorted((str(r["doc_id"]), r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in got) == sorted(want)
+    encoded = byte_bpe.encode(docs_of(spark, rows), path, tokenizers.PATTERN)
+    assert sorted((str(r["doc_id"]), r["ids"]) for r in encoded.collect()) == sorted((str(i), library.encode_ordinary(t or "")) for i, t in rows)
+    decoded = byte_bpe.decode(encoded.withColumn("key", F.lit("k")), path, tokenizers.PATTERN)
+    assert sorted((str(r["doc_id"]), bytes(r["body"])) for r in decoded.collect()) == sorted((str(i), (t or "").encode()) for i, t in rows)
+    assert byte_bpe.round_trip(docs_of(spark, []), path, tokenizers.PATTERN).count() == 0
+
+
 def best_fit_decreasing(lengths, size):
     gaps = []
     for n in sorted(lengths, reverse=True):
@@ -142,10 +161,12 @@ def best_fit_decreasing(lengths, size):
 
 
 def test_word_ids_and_packing(spark):
-    words, rnd = packing.words_of(open(tokenizers.path("word_bpe_49k.json"), "rb").read()), random.Random(4)
-    for _ in range(300):
-        t = "".join(rnd.choice("aAbeé \n日 !😀x1\t'ś\x1cΣİ<|endoftext|>") for _ in range(rnd.randint(0, 40)))
-        assert np.frombuffer(b"".join(map(words.__getitem__, t.encode().split())), "<u4").tolist() == words.whole.encode(t, add_special_tokens=False).ids
+    path = tokenizers.path("word_bpe_49k.json")
+    words, rnd, library = packing.words_of(open(path, "rb").read()), random.Random(4), tokenizer_library.Tokenizer.from_file(path)
+    signs = [*"aAbeé \n日 !😀x1\t'ś\x1cΣİ<|>", "<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>"]
+    for _ in range(600):
+        t = "".join(rnd.choice(signs) for _ in range(rnd.randint(0, 40)))
+        assert np.frombuffer(b"".join(map(words.__getitem__, t.encode().split())), "<u4").tolist() == library.encode(t, add_special_tokens=False).ids, t
     rows = [(i, " ".join(["word"] * rnd.randint(0, 60))) for i in range(300)] + [(300, None), (300, None), (301, "x " * 150)]
     out = packing.best_fit_packing(docs_of(spark, rows), tokenizers.path("word_bpe_49k.json"), size=64).collect()
     used = {}
@@ -404,9 +425,15 @@ def test_quality_labels_lines_of_one_document_differently():
     field = quality.Field.train([(lines(t), 1) for t in good] + [(lines(t), 0) for t in bad])
     mixed = "\n".join([*(prose(k) for k in range(100, 108)), *["Home | News | About | Contact | Help"] * 5])
     assert field.viterbi(lines(mixed)).tolist() == [1] * 8 + [0] * 5
-    assert quality.judge(mixed, field)[-1] and not quality.judge(bad[0], field)[-1]
-    more = "\n".join([prose(1), *[f"Home | News | About | Contact | Help | Item {k} | Item {k + 1}" for k in range(30)]])
-    assert not quality.judge(more, field)[-1] and set(field.viterbi(lines(more)).tolist()) == {0, 1}
+    *_, failed, content, kept = quality.judge(mixed, field)  # the sentences repeat, so the base rules fail it
+    assert (failed, content, kept) == (True, 8 * len(prose(100).split()), False) and not quality.judge(bad[0], field)[-1]
+    rnd = random.Random(2)
+    words = lambda n: " ".join("".join(rnd.choice("abcdefghij") for _ in range(5)) for _ in range(n))
+    menus = lambda n: [f"{words(1)} | {words(1)} | {words(1)} | {words(1)} | {words(1)}" for _ in range(n)]
+    for prose_lines, kept in ((12, True), (3, False)):
+        text = "\n".join([*(words(18) + "." for _ in range(prose_lines)), *menus(20)])
+        *_, failed, _, verdict = quality.judge(text, field)
+        assert (failed, verdict) == (False, kept) and field.viterbi(lines(text)).tolist() == [1] * prose_lines + [0] * 20
 
 
 def test_quality_of_odd_rows(spark):
@@ -417,6 +444,23 @@ def test_quality_of_odd_rows(spark):
     assert quality.score(docs_of(spark, []), quality.Field.train([])).count() == 0
 
 
+def test_toxicity_learns_by_compression_and_odd_rows(spark):
+    rnd = random.Random(21)
+    plain = lambda: " ".join("".join(rnd.choice(["ra", "mi", "to", "ne", "lu"]) for _ in range(rnd.randint(1, 4))) for _ in range(60))
+    foul = lambda: " ".join(w + rnd.choice(["", "", "", "", " you wretched gobshite,"]) for w in plain().split())
+    rows = [(i, foul() if i % 3 == 0 else plain()) for i in range(400)]
+    labels = spark.createDataFrame([(i, 1, int(i % 3 == 0)) for i, _ in rows] + [(7, 1, None), (None, 1, 1)], "doc_id long, quality int, toxic int")
+    docs = docs_of(spark, rows + [(None, None), (401, ""), (402, foul() * 200), (402, foul() * 200)])
+    model = toxicity.train(docs, labels)
+    assert b"gobshite" in model.toxic and b"gobshite" not in model.ordinary
+    out = {(r["doc_id"], r["held_out"]): (r["score"], r["predicted"]) for r in toxicity.score(docs, model).collect()}
+    unseen = [i for (i, held), _ in out.items() if held and i is not None and i < 400]
+    assert len(unseen) > 60 and all(out[i, True][1] == int(i % 3 == 0) for i in unseen)
+    assert out[None, False][0] == toxicity.distance_of(model).score("", model.weights) < 0.3
+    assert toxicity.score(docs_of(spark, []), model).count() == 0
+    assert toxicity.train(docs, labels.limit(0)).toxic == b""
+
+
 def test_trained_models_on_held_out_rows(spark):
     sf = "/root/testdata/sf0.01"
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
