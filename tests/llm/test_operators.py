@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import itertools
 import random
 import re
 
@@ -344,7 +345,29 @@ def test_chat(spark):
     assert got[1, 0] == ("Hello there\nsecond", 0, None, 0, 0)
     assert got[1, 1] == ("hi", 1, 0, 0, 1) and got[1, 2] == ("thanks", 2, 1, 0, 2) and got[1, 3] == ("x", 1, None, 3, 0)
     assert got[2, 0] == ("", 0, None, 0, 0)
-    assert chat.render(out).where("conv_id = 1").first()["chat"].startswith("<|user|>\nHello there")
+    order = [(r["turn"], r["position"]) for r in out.where("conv_id = 1").orderBy("position").collect()]
+    assert order == [(0, 0), (1, 1), (2, 2), (3, 3)] and {r["position"] for r in out.where("conv_id IS NULL").collect()} == {None}
+    assert chat.render(out).where("conv_id = 1 AND position = 0").first()["chat"] == "<|user|>\nHello there\nsecond"
+    assert chat.chat_format(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
+
+
+def test_chat_passages(spark):
+    first, again = "It began here.\nCommon line\nand it went on\n\nanother paragraph", "Common line"
+    rows = [(1, 0, "u", first), (1, 1, "u", again), (1, 2, "b", "> It began here.\n> Common line\n> and it went on\nyes"), (1, 3, "b", "> Common line\nno"), (1, 4, "b", "> it  BEGAN here. common\n> line and it went on\nwrapped"),
+            (1, 5, "b", "> another paragraph\nwell"), (1, 6, "b", "> and it began\n> here\nnot said"), (1, 7, "b", ">> It began here.\n>> Common line\n>> and it went on\n> yes\nnested")]
+    out = chat.chat_format(spark.createDataFrame([(*r, "x", 0) for r in rows], "conv_id long, turn long, role string, text string, hash string, passage int"))
+    assert {r["turn"]: r["reply_to"] for r in out.collect()} == {0: None, 1: None, 2: 0, 3: 1, 4: 0, 5: 0, 6: None, 7: 2}
+
+
+def test_chat_positions_across_blocks(spark, monkeypatch):
+    monkeypatch.setattr(chat, "BLOCK", 4)
+    rnd = random.Random(5)
+    rows = [(c, t, rnd.choice(["a", "b"]), rnd.choice([None, t, rnd.randrange(t + 1)])) for c in (1, 2) for t in range(50) for _ in range(rnd.choice([1, 1, 2]))]
+    rows = [(c, t, role, str(k), t if thread is None else thread) for k, (c, t, role, thread) in enumerate(rows)]
+    got = chat.places(spark.createDataFrame(rows, "conv_id long, turn long, role string, body string, thread long")).collect()
+    for c in (1, 2):
+        mine = sorted((r["thread"], r["turn"], r["role"], r["body"], r["position"]) for r in got if r["conv_id"] == c)
+        assert [r[-1] for r in mine] == list(range(len(mine)))
 
 
 def test_chat_origins_across_blocks(spark, monkeypatch):
@@ -353,17 +376,25 @@ def test_chat_origins_across_blocks(spark, monkeypatch):
     rows = []
     for conv in (1, 2):
         for turn in range(40):
-            lines = [">" * rnd.choice([0, 0, 0, 1, 1, 2]) + " " + rnd.choice(["common", f"rare {rnd.randrange(25)}"]) for _ in range(rnd.randint(1, 3))]
+            lines = [">" * rnd.choice([0, 0, 0, 1, 1, 2]) + " " + rnd.choice(["common", f"rare {rnd.randrange(25)}", ""]) for _ in range(rnd.randint(1, 5))]
             rows.append((conv, turn, "user", "\n".join(lines)))
     rows.append((1, 7, "bot", "common\n> rare 3"))
-    parts = [(c, t, x.count(">"), x.lstrip("> ")) for c, t, _, text in rows for x in text.split("\n")]
+
+    def units(text):  # (level, passage) of runs, paragraphs and lines
+        found = set()
+        for level, run in itertools.groupby(text.split("\n"), key=lambda x: x.count(">")):
+            body = "\n".join(x.lstrip("> ") for x in run)
+            found |= {(level, " ".join(p.split())) for p in [body, *re.split(r"\n[ \t]*\n", body), *body.split("\n")] if p.split()}
+        return found
+
+    parts = [(c, t, *u) for c, t, _, text in rows for u in units(text)]
     expected = {}
     for c, t, level, body in parts:
         origins = [u for d, u, own, said in parts if d == c and u < t and own == 0 and said == body]
         if level and origins:
-            expected[c, t] = max(expected.get((c, t), (-9, 0)), (-level, max(origins)))
+            expected[c, t] = max(expected.get((c, t), (-9, 0, 0)), (-level, len(body), max(origins)))
     got = {(r["conv_id"], r["turn"]): r["reply_to"] for r in chat.links(chat.parse(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))).collect()}
-    assert len(got) > 20 and got == {k: v[1] for k, v in expected.items()}
+    assert len(got) > 20 and got == {k: v[2] for k, v in expected.items()}
 
 
 def test_warc_round_trip(spark, tmp_path):
