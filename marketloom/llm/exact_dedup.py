@@ -139,7 +139,8 @@ def exact_dedup(incoming: DataFrame, snapshot: DataFrame, per_bucket: int = 100_
     """
     new_rows, old_rows = materialize(digests(incoming), "incoming"), materialize(digests(snapshot), "snapshot")
     old, new = materialize(grouped(old_rows), "old-groups"), grouped(new_rows)
-    buckets = max(1, -(-old.count() // per_bucket))
+    # by the larger side: a first snapshot has no digests, and its batch may have all
+    buckets = max(1, -(-max(old.count(), new_rows.count()) // per_bucket))
     screened = materialize(screen(new, snapshot_filters(old, buckets), buckets), "screened")
     hits = screened.where("maybe").select("digest", "n_bytes", F.col("keep_id").alias("new_id"), F.col("rows").alias("new_rows"))
     pairs = materialize(hits.join(old.select("digest", "n_bytes", F.col("keep_id").alias("old_id"), F.col("rows").alias("old_rows")), ["digest", "n_bytes"]), "pairs")
@@ -168,6 +169,7 @@ def split_by_age(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All ``documents``: the upper half of the ids comes in, the lower half is the snapshot."""
     incoming, snapshot = split_by_age(table(spark, sf_dir, "documents"))
     return exact_dedup(incoming, snapshot)
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_map, scratch_path, table
+from .common import arrow_map, discard, materialize, scratch_path, table
 
 END = b"\r\n\r\n"
 GZIP = b"\x1f\x8b"
@@ -71,11 +71,15 @@ def write_warc(pages: DataFrame, path: str, min_bytes: int = 0, segment_bytes: i
 
     Of pages with equal payloads of at least ``min_bytes`` bytes, the one with
     the largest id is a response and the others revisit it. Rows that repeat
-    that id are responses too. An empty table writes archives without records.
+    that id are responses too, as are rows without an id. An empty table writes
+    archives without records; columns other than page_id, url and html are not read.
     """
-    body = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html")).withColumn("payload_sha1", F.sha1(F.col("html").cast("binary")))
-    sums = pages.select("page_id", F.sha1(F.coalesce("html", F.lit("")).cast("binary")).alias("payload_sha1")).groupBy("payload_sha1").agg(F.max("page_id").alias("keep"))
-    roles = body.hint("merge").join(sums, "payload_sha1").select("page_id", "url", "html", "keep", F.monotonically_increasing_id().alias("row"))
+    body = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html")).withColumn("payload_sha1", F.sha1(F.col("html").cast("binary")))
+    # the ids learn their response first, so that the html is dealt by id: one payload may be a third of all
+    ids = materialize(body.where("page_id IS NOT NULL").select("page_id", "payload_sha1").distinct(), "payloads")
+    told = ids.join(ids.groupBy("payload_sha1").agg(F.max("page_id").alias("keep")), "payload_sha1")
+    roles = body.where("page_id IS NOT NULL").hint("merge").join(told, ["page_id", "payload_sha1"]).select("page_id", "url", "html", "keep")
+    roles = roles.unionByName(body.where("page_id IS NULL").select("page_id", "url", "html", F.lit(None).cast("long").alias("keep"))).withColumn("row", F.monotonically_increasing_id())
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         out: list[str] = []
@@ -97,6 +101,7 @@ def write_warc(pages: DataFrame, path: str, min_bytes: int = 0, segment_bytes: i
         yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["value"])
 
     arrow_map(roles, run, "value string").write.option("lineSep", END.decode()).option("maxRecordsPerFile", per_file).option("compression", "gzip").text(path)
+    discard(ids)
 
 
 def parse(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -158,6 +163,7 @@ def reassemble(records: DataFrame) -> DataFrame:
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All ``pages``, written as archives and read back."""
     path = scratch_path(spark, "warc")
     write_warc(table(spark, sf_dir, "pages"), path)
     return reassemble(read_records(spark, path)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")

@@ -410,6 +410,16 @@ def test_warc_round_trip(spark, tmp_path):
         warc.reassemble(torn).collect()
 
 
+def test_warc_of_odd_rows(spark, tmp_path):
+    rows = [(None, "u", "x"), (None, "u", "x"), (1, None, "x"), (1, None, "x"), (2, "u", "y"), (2, "u", "z"), (3, "u", "x")]
+    pages = spark.createDataFrame([(*r, "k", 0) for r in rows], "page_id long, url string, html string, payload_sha1 string, keep long")
+    warc.write_warc(pages, str(tmp_path / "w"))
+    got = warc.reassemble(warc.read_records(spark, str(tmp_path / "w"))).collect()
+    assert sorted((str(r["page_id"]), r["record_type"], str(r["refers_to"])) for r in got) == [("1", "revisit", "3"), ("1", "revisit", "3"), ("2", "response", "None"), ("2", "response", "None"), ("3", "response", "None"), ("None", "response", "None"), ("None", "response", "None")]
+    warc.write_warc(pages.limit(0), str(tmp_path / "e"))
+    assert warc.reassemble(warc.read_records(spark, str(tmp_path / "e"))).count() == 0
+
+
 def test_quality_counts_and_decoding():
     text = "a b c\n\na b c\nx #| a b c"
     n, chars, symbols, dups, repeats, failed, _, kept = quality.judge(text, quality.Field.train([]))
