@@ -171,12 +171,16 @@ def set_table(docs: DataFrame, width: int) -> DataFrame:
     return arrow_map(docs.select("doc_id", "text"), run, "doc_id long, n_shingles long, key binary, short long")
 
 
-def signature_blocks(docs: DataFrame, width: int, percent: int, blocks: int) -> DataFrame:
-    """Signatures dealt by hash range: block, signs (40 bits, low four bytes first, then the fifth ones), owner, names (short keys), and pairs of names that hang together already.
+BLOCKS = "block long, signs binary, owner binary, names binary, pairs binary"
+
+
+def dealt(sets: Iterator[tuple[int, np.ndarray]], blocks: int) -> Iterator[pa.RecordBatch]:
+    """The signatures of (name, signatures), dealt by hash range: block, signs (40 bits, low four bytes first, then the fifth ones), owner, names, and pairs of names that hang together already.
 
     A task sends a signature once, however many of its sets have it; those hang
-    together, which ``pairs`` say. So a group of near copies that fills a third of
-    the rows is one entry a task.
+    together, which ``pairs`` say. With 40 bits inside a block, chance makes about one
+    signature in a million coincide with another, which costs time but no link. So a group
+    of near copies that fills a third of the rows is one entry a task.
     """
 
     def flush(parts: list[np.ndarray], names: list[int]) -> Iterator[pa.RecordBatch]:
@@ -195,29 +199,41 @@ def signature_blocks(docs: DataFrame, width: int, percent: int, blocks: int) ->
             pairs = np.stack([named[label[mine]], named[mine]], 1)
             if ends[b] < ends[b + 1] or len(pairs):
                 present, index = np.unique(owner[ends[b] : ends[b + 1]], return_inverse=True)
-                mine = signs[ends[b] : ends[b + 1]]
-                rows.append((b, mine.astype(np.uint32).tobytes() + (mine >> np.uint64(32)).astype(np.uint8).tobytes(), index.astype(np.uint16 if len(present) < 65536 else np.uint32).tobytes(), named[present].tobytes(), pairs.tobytes()))
+                here = signs[ends[b] : ends[b + 1]]
+                rows.append((b, here.astype(np.uint32).tobytes() + (here >> np.uint64(32)).astype(np.uint8).tobytes(), index.astype(np.uint16 if len(present) < 65536 else np.uint32).tobytes(), named[present].tobytes(), pairs.tobytes()))
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], ["block", "signs", "owner", "names", "pairs"])
 
+    parts, names, held = [], [], 0
+    for name, mine in sets:
+        if len(mine):
+            parts.append(mine)
+            names.append(name)
+            held += len(mine)
+        if held >= HELD:
+            yield from flush(parts, names)
+            parts, names, held = [], [], 0
+    yield from flush(parts, names)
+
+
+def signature_blocks(docs: DataFrame, width: int, percent: int, blocks: int) -> DataFrame:
+    """The signatures of the documents' sets under their short keys; of the sets that a task has met lately, each once."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, names, seen, held = [], [], set(), 0
-        for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                s = shingles(text, width)
-                if not len(s) or doc_id is None or (name := short_key(set_key(s))) in seen:
-                    continue
-                seen.add(name)
-                if len(mine := signatures(s, percent)):
-                    parts.append(mine)
-                    names.append(name)
-                    held += len(mine)
-                if held >= HELD:
-                    yield from flush(parts, names)
-                    parts, names, seen, held = [], [], set(), 0
-        yield from flush(parts, names)
+        def sets() -> Iterator[tuple[int, np.ndarray]]:
+            seen: set[int] = set()
+            for batch in batches:
+                for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    s = shingles(text, width)
+                    if len(s) and doc_id is not None and (name := short_key(set_key(s))) not in seen:
+                        if len(seen) >= HELD // 8:
+                            seen.clear()
+                        seen.add(name)
+                        yield name, signatures(s, percent)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "block long, signs binary, owner binary, names binary, pairs binary")
+        yield from dealt(sets(), blocks)
+
+    return docs.select("doc_id", "text").mapInArrow(run, BLOCKS)
 
 
 def _bound(parts: pd.DataFrame) -> pd.DataFrame:
@@ -258,23 +274,72 @@ def forest(edges: DataFrame) -> DataFrame:
     return edges.select("a", "b").repartition(max(1, -(-edges.count() // EDGES)), "a").mapInArrow(run, "a long, b long")
 
 
+def block_count(total: int, percent: int) -> int:
+    """A set of n shingles has about 2.2 * n * (100 - percent) / 85 signatures."""
+    return max(LEAST_BLOCKS, -(-total * 22 * (100 - percent) // 850 // BLOCK))
+
+
+def hung(signed: DataFrame, blocks: int) -> DataFrame:
+    """a, b: edges that hang together the names that share signatures."""
+    found = materialize(signed.repartition(blocks, "block").groupBy("block").applyInPandas(_bound, "a long, b long"), "found")
+    edges = materialize(forest(found), "edges")
+    discard(found)
+    return edges
+
+
 def regions(docs: DataFrame, groups: DataFrame, total: int, width: int, percent: int) -> DataFrame:
     """id, component: the sets that hang together by signatures, those with company only."""
-    # a set of n shingles has about 2.2 * n * (100 - percent) / 85 signatures
-    blocks = max(LEAST_BLOCKS, -(-total * 22 * (100 - percent) // 850 // BLOCK))
-    found = signature_blocks(docs, width, percent, blocks).repartition(blocks, "block").groupBy("block").applyInPandas(_bound, "a long, b long")
-    found = materialize(found, "found")
-    edges = materialize(forest(found), "edges")
+    blocks = block_count(total, percent)
+    edges = hung(signature_blocks(docs, width, percent, blocks), blocks)
     # sets that share 64 bits of their key are taken as hanging together
     twins = groups.groupBy("short").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a != b").select("a", "b")
     one = groups.groupBy("short").agg(F.min("rep").alias("rep"))
     named = edges.join(one.select(F.col("short").alias("a"), F.col("rep").alias("x")), "a").join(one.select(F.col("short").alias("b"), F.col("rep").alias("y")), "b")
     both = materialize(named.select(F.col("x").alias("a"), F.col("y").alias("b")).where("a != b").unionByName(twins), "rep-edges")
     out = components(both)
-    discard(found, edges, both)
+    discard(edges, both)
     return out
 
 
+def region_sizes(members: DataFrame, leaf: int) -> DataFrame:
+    """region, bytes, unknown (members not known to hang together): the regions whose sets don't fit in a task."""
+    of = members.groupBy("region").agg(F.sum(8 * F.col("n")).alias("bytes"), F.count_if(~F.col("known")).alias("unknown"))
+    return materialize(of.where(F.col("bytes") > leaf), "large")
+
+
+def parted_again(members: DataFrame, percent: int, leaf: int) -> DataFrame:
+    """The members, with large regions parted by signatures of fresh hashes, as long as these part them.
+
+    What chance or a common passage hangs together under one hash falls apart
+    under another; linked sets hang together under all, so no link is lost.
+    Members that are left alone go.
+    """
+    round_, last = 0, None
+    while True:
+        sizes = region_sizes(members, leaf)
+        total = sizes.agg(F.sum("bytes")).first()[0] or 0
+        if not total or (last is not None and total > 0.8 * last):
+            return members
+        round_, last = round_ + 1, total
+        large = members.join(sizes.select("region"), "region", "left_semi")
+        blocks, seed = block_count(total // 8, percent), np.uint64(round_ * 0xD1B54A32D192ED03 & (1 << 64) - 1)
+
+        def run(batches: Iterator[pa.RecordBatch], blocks: int = blocks, seed: np.uint64 = seed) -> Iterator[pa.RecordBatch]:
+            def sets() -> Iterator[tuple[int, np.ndarray]]:
+                for batch in batches:
+                    for rep, mark, tokens in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                        own = np.sort(_mixed(np.frombuffer(tokens, np.uint64) ^ seed))
+                        yield rep, _mixed(signatures(own, percent) ^ np.uint64(mark & (1 << 64) - 1))
+
+            yield from dealt(sets(), blocks)
+
+        edges = hung(large.select("rep", F.xxhash64("region"), "tokens").mapInArrow(run, BLOCKS), blocks)
+        found = components(edges)
+        named = large.join(found, large.rep == found.id).select(F.concat_ws("+", "region", "component").alias("region"), "rep", "n", "known", "tokens")
+        members = materialize(members.join(sizes.select("region"), "region", "left_anti").unionByName(named), "members")
+        discard(edges)
+
+
 # --- pivots inside regions ----------------------------------------------------------------------
 
 
@@ -548,10 +613,10 @@ def voronoi(members: DataFrame, sizes: DataFrame, percent: int, leaf: int, round
 
 def region_links(members: DataFrame, percent: int, leaf: int = LEAF_BYTES) -> DataFrame:
     """Links that span the components of all regions' exact joins. Regions over ``leaf`` bytes are split, round by round, until none is left."""
+    members = parted_again(members, percent, leaf)
     found, round_ = [], 0
     while True:
-        of = members.groupBy("region").agg(F.sum(8 * F.col("n")).alias("bytes"), F.count_if(~F.col("known")).alias("unknown"))
-        sizes = materialize(of.where(F.col("bytes") > leaf), "large")
+        sizes = region_sizes(members, leaf)
         found.append(join_leaves(members.join(sizes.select("region"), "region", "left_anti"), percent))
         if sizes.isEmpty():
             break
