@@ -34,6 +34,8 @@ from .common import arrow_map, discard, materialize, table, word_digests
 LEAF_BYTES, PIVOTS, FEW = 32 << 20, 24, 8
 #: Signatures that one task groups, that a writing task holds at once, and groups at least.
 BLOCK, HELD, LEAST_BLOCKS = 2_000_000, 2_000_000, 32
+#: Sets of a batch that hold a shingle for it to be counted; shingles that are sent last, 8 bytes each to every task.
+FREQUENT, COMMON = 4, 200_000
 MEMBERS = "region string, rep long, n long, known boolean, tokens binary"
 
 
@@ -79,7 +81,7 @@ class Tag:
         self.number, self.low, self.high = number, low, high
         self.differ = max(below * (100 - percent) // percent, 2 * high * (100 - percent) // (100 + percent))
         self.rich = 2 if low >= 4 * (self.differ * 9 // 8 + 2) else 1
-        self.spare = self.differ // (8 if self.rich == 2 else 12) + 1
+        self.spare = self.differ // (8 if self.rich == 2 else 4) + 1
         self.parts = self.differ + 1 + self.spare
 
 
@@ -109,14 +111,24 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def signatures(tokens: np.ndarray, percent: int) -> np.ndarray:
+def signatures(tokens: np.ndarray, percent: int, common: np.ndarray | None = None) -> np.ndarray:
     """Digests of which two different linked sets share at least one.
 
-    Under each of its tags a set sends its rich parts. Linked sets agree on spare + 1 parts, so if one of the two has at most ``spare``
-    poorer parts, they agree on a part that is sent. Sets with more poor parts
+    Under each of its tags a set sends its rich parts. Linked sets agree on
+    parts - differ of them, so on ``sure`` rich ones, if that many less the poor
+    parts of one of the two are left. Sets with more poor parts than are to spare
     also send the first shingles in hash order, of which two linked sets share one.
+
+    Parts of ``common`` shingles only would hang together whatever quotes them. Let
+    these come last in an order of all parts: then a set needn't send its last
+    sure - 1, since the first of the shared ones isn't among them, for either set.
     """
     out, sums, high = [], np.concatenate((np.zeros(1, np.uint64), np.cumsum(_mixed(tokens)))), tokens >> np.uint64(32)
+    if common is not None and len(common):
+        found = common[np.minimum(np.searchsorted(common, tokens), len(common) - 1)] == tokens
+        usual = np.concatenate(([0], np.cumsum(found)))
+    else:
+        usual = None
     for tag in tags_of(percent).of(len(tokens)):
         if not tag.differ:
             continue  # only equal sets link
@@ -124,8 +136,15 @@ def signatures(tokens: np.ndarray, percent: int) -> np.ndarray:
         bounds = np.searchsorted(part, np.arange(tag.parts + 1, dtype=np.uint64))
         rich = np.flatnonzero(np.diff(bounds) >= tag.rich)
         name = np.uint64(tag.number << 40)
-        out.append((sums[bounds[rich + 1]] - sums[bounds[rich]]) ^ _mixed(rich.astype(np.uint64) + name))
-        if tag.parts - len(rich) > tag.spare:
+        signs = (sums[bounds[rich + 1]] - sums[bounds[rich]]) ^ _mixed(rich.astype(np.uint64) + name)
+        sure = len(rich) - tag.differ
+        if usual is not None and sure > 1:
+            last = np.flatnonzero(usual[bounds[rich + 1]] - usual[bounds[rich]] == bounds[rich + 1] - bounds[rich])
+            if len(last) > sure - 1:
+                last = last[np.argsort(signs[last])[-(sure - 1) :]]
+            signs = np.delete(signs, last)
+        out.append(signs)
+        if sure < 1:
             n = len(tokens)
             out.append(tokens[: n - (percent * n + 99) // 100 + 1] ^ _mixed(np.array([name + np.uint64(1 << 39)]))[0])
     return _mixed(np.concatenate(out)) if out else np.zeros(0, np.uint64)
@@ -161,14 +180,30 @@ def together(signs: np.ndarray, owner: np.ndarray, n: int) -> tuple[np.ndarray,
 
 
 def set_table(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, n_shingles, key (a digest of the set) and short (64 bits of it) of every row."""
+    """doc_id, n_shingles, key (a digest of the set) and short (64 bits of it) of every row; and in one row of a batch ``often``, shingles of FREQUENT and more of its sets, with their counts."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = [shingles(t, width) for t in batch.column(1).to_pylist()]
         keys = [set_key(s) for s in sets]
-        return pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), pa.array(map(short_key, keys), pa.int64())], ["doc_id", "n_shingles", "key", "short"])
+        found, count = np.unique(np.concatenate(list(dict(zip(keys, sets, strict=True)).values())), return_counts=True)
+        often = np.stack([found, count.astype(np.uint64)], 1)[count >= FREQUENT].tobytes()
+        columns = [batch.column(0).cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), pa.array(map(short_key, keys), pa.int64()), pa.array([often] + [None] * (len(sets) - 1), pa.binary())]
+        return pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "key", "short", "often"])
+
+    return arrow_map(docs.select("doc_id", "text"), run, "doc_id long, n_shingles long, key binary, short long, often binary")
+
+
+def common_shingles(sets: DataFrame) -> np.ndarray:
+    """The COMMON shingles that most sets of all batches hold, in order. They decide what is sent last, so they change time, not links."""
+
+    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for often in batch.column(0).to_pylist():
+            pairs = np.frombuffer(often, np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["shingle", "n"])
 
-    return arrow_map(docs.select("doc_id", "text"), run, "doc_id long, n_shingles long, key binary, short long")
+    counted = arrow_map(sets.where("often IS NOT NULL").select("often"), run, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
+    top = counted.orderBy(F.desc("n"), "shingle").limit(COMMON).select("shingle").toArrow().column(0).to_numpy()
+    return np.sort(top.view(np.uint64))
 
 
 BLOCKS = "block long, signs binary, owner binary, names binary, pairs binary"
@@ -216,8 +251,9 @@ def dealt(sets: Iterator[tuple[int, np.ndarray]], blocks: int) -> Iterator[pa.Re
     yield from flush(parts, names)
 
 
-def signature_blocks(docs: DataFrame, width: int, percent: int, blocks: int) -> DataFrame:
+def signature_blocks(docs: DataFrame, width: int, percent: int, blocks: int, common: np.ndarray) -> DataFrame:
     """The signatures of the documents' sets under their short keys; of the sets that a task has met lately, each once."""
+    last = docs.sparkSession.sparkContext.broadcast(common)  # at most COMMON numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def sets() -> Iterator[tuple[int, np.ndarray]]:
@@ -229,7 +265,7 @@ def signature_blocks(docs: DataFrame, width: int, percent: int, blocks: int) ->
                         if len(seen) >= HELD // 8:
                             seen.clear()
                         seen.add(name)
-                        yield name, signatures(s, percent)
+                        yield name, signatures(s, percent, last.value)
 
         yield from dealt(sets(), blocks)
 
@@ -287,10 +323,10 @@ def hung(signed: DataFrame, blocks: int) -> DataFrame:
     return edges
 
 
-def regions(docs: DataFrame, groups: DataFrame, total: int, width: int, percent: int) -> DataFrame:
+def regions(docs: DataFrame, groups: DataFrame, total: int, width: int, percent: int, common: np.ndarray) -> DataFrame:
     """id, component: the sets that hang together by signatures, those with company only."""
     blocks = block_count(total, percent)
-    edges = hung(signature_blocks(docs, width, percent, blocks), blocks)
+    edges = hung(signature_blocks(docs, width, percent, blocks, common), blocks)
     # sets that share 64 bits of their key are taken as hanging together
     twins = groups.groupBy("short").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a != b").select("a", "b")
     one = groups.groupBy("short").agg(F.min("rep").alias("rep"))
@@ -659,7 +695,7 @@ def ngram_jaccard_join(docs: DataFrame, width: int = 5, percent: int = 80, leaf:
     sets = materialize(set_table(docs, width), "sets")
     groups = materialize(sets.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("key", "short").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n")), "groups")
     total = groups.agg(F.sum("n")).first()[0] or 0
-    clusters = regions(docs, groups, total, width, percent)
+    clusters = regions(docs, groups, total, width, percent, common_shingles(sets))
     wanted = clusters.join(groups, clusters.id == groups.rep).select(F.col("rep").alias("doc_id"), "key", "n", F.col("component").cast("string").alias("region"))
 
     def tokens(batch: pa.RecordBatch) -> pa.RecordBatch:

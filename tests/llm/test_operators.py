@@ -69,6 +69,7 @@ def components_of(n, links):
 def test_linked_sets_share_a_signature(percent):
     rnd, met = random.Random(8), 0
     for _ in range(2500):
+        case_share = rnd.choice([0, 0.1, 0.5, 1])
         x = {rnd.getrandbits(64) for _ in range(rnd.choice([1, 2, 3, 5, 8, 13, 30, 60, 150, 400, 1500]))}
         y = set(x)
         for _ in range(rnd.randint(0, max(1, len(x) * (100 - percent) // percent))):
@@ -77,7 +78,8 @@ def test_linked_sets_share_a_signature(percent):
             if rnd.random() < 0.6:
                 y.add(rnd.getrandbits(64))
         if x != y and 100 * len(x & y) >= percent * len(x | y):
-            a, b = (jaccard.signatures(np.array(sorted(s), np.uint64), percent) for s in (x, y))
+            common = np.array(sorted(t for t in x | y if rnd.random() < case_share), np.uint64)
+            a, b = (jaccard.signatures(np.array(sorted(s), np.uint64), percent, common) for s in (x, y))
             assert len(np.intersect1d(a, b))
             met += 1
     assert met > 1000
