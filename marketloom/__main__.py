@@ -8,10 +8,12 @@ import json
 from pathlib import Path
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
+from . import __version__
 from .operators.metrics import summarize
-from .plans import live, research
-from .plans.simulate import backtest, curves_of
+from .plans import live, research, rigor
+from .plans.simulate import backtest, checked_holdings, curves_of, fills_of, read_holdings
 from .plans.strategies import PARAMS
 from .sources import ledger, runs
 from .sources.warehouse import Warehouse
@@ -32,12 +34,14 @@ def arguments() -> argparse.ArgumentParser:
     money = (("--cash", {"type": float, "default": 10_000.0}), ("--impact", {"action": argparse.BooleanOptionalAction, "default": True}))
     params = ("--param", {"action": "append", "default": [], "metavar": "NAME=VALUE"})
     whole = lambda flag, default: (flag, {"type": int, "default": default})
-    command("backtest", *span, ("--strategy", {"default": "buy-and-hold", "choices": sorted(PARAMS)}), params, *money, whole("--warmup-days", 0))
+    command("backtest", *span, ("--strategy", {"default": "buy-and-hold", "choices": sorted(PARAMS)}), params, *money, whole("--warmup-days", 0), ("--holdings", {"help": "a CSV file of what the run begins with"}))
     command("walkforward", *span, strategy, *money, whole("--is-days", 180), whole("--oos-days", 60), whole("--trials", 25), whole("--seed", 42), whole("--warmup-days", 120), ("--objective", {"default": "total_return", "choices": research.OBJECTIVES}))
     command("signals", strategy, ("--cash", {"type": float}), ("--portfolio", {"action": "store_true"}), whole("--warmup-days", 365))
     command("daily", strategy, ("--paper", {"action": "store_true"}), money[1], ("--day", {"type": dt.date.fromisoformat, "default": None}))
     command("portfolio", ("action", {"choices": ["deposit", "withdraw", "buy", "sell", "show"]}), ("--date", {}), ("--amount", {"type": float}), ("--product-id", {"type": int}), ("--sub-type", {}), ("--qty", {"type": int}), ("--price", {"type": float}), ("--fees", {"type": float}), ("--impact", {"type": float}))
-    command("runs", ("action", {"choices": ["list", "show"]}), ("--run-id", {}))
+    command("runs", ("action", {"choices": ["list", "show"]}), ("--run-id", {"default": "", "help": "or its beginning"}), ("--of", {"help": "runs of a command"}), ("--strategy", {}))
+    command("evaluate", whole("--draws", 10_000), ("--block", {"type": float, "default": 10.0}), whole("--seed", 42), ("--level", {"type": float, "default": 0.95}))
+    command("version")
     command("sql", ("text", {}))
     return p
 
@@ -55,9 +59,11 @@ def main(given: list[str] | None = None, spark: SparkSession | None = None) -> i
     book_path, registry = f"{a.root}/ledger.jsonl", f"{a.root}/runs/registry.jsonl"
     show = lambda x: print(json.dumps(x, default=str))
     if a.command == "runs":
-        for r in runs.load(registry):
-            if a.action == "list" or r["run_id"] == a.run_id:
-                show(r if a.action == "show" else {k: r[k] for k in ("run_id", "command", "strategy", "results")})
+        for r in runs.chosen(runs.load(registry), a.of, a.strategy, a.run_id):
+            show(r if a.action == "show" else {k: r[k] for k in ("run_id", "command", "strategy", "results")})
+        return 0
+    if a.command == "version":
+        show({"version": __version__})
         return 0
     if a.command == "portfolio":
         if a.action == "show":
@@ -74,14 +80,27 @@ def main(given: list[str] | None = None, spark: SparkSession | None = None) -> i
         for line in w.query(a.text).toJSON().toLocalIterator():
             print(line)
         return 0
+    if a.command == "evaluate":
+        found = rigor.evaluate(runs.stitched_curves(spark, f"{a.root}/results"), runs.benchmark_curve(spark, registry), a.draws, a.block, a.seed, a.level)
+        rows = [r.asDict() for r in found.orderBy("strategy").collect()]
+        how = {"draws": a.draws, "block": a.block, "seed": a.seed, "level": a.level}
+        folder = runs.save_evaluation(f"{a.root}/results", dt.date.today(), rows, how)
+        runs.record(registry, a.command, "all", how, {r["strategy"]: r["deflated"] for r in rows}, folder, w)
+        for r in rows:
+            show(r)
+        return 0
     prices, products = w.load_prices(), w.load_products()
     if a.command == "backtest":
         plan = research.one_run(spark, a.strategy, a.start, a.end, a.cash, a.warmup_days, a.impact, **dict(x.split("=", 1) for x in a.param))
-        rows = summarize(curves_of(backtest(prices, products, plan)), "run_id").drop("run_id").collect()
+        held = checked_holdings(prices, read_holdings(spark, a.holdings), a.start, a.end, a.warmup_days) if a.holdings else []
+        done = backtest(prices, products, plan, held)
+        run_id = runs.new_id()
+        folder = runs.save_backtest(f"{a.root}/results", run_id, curves_of(done), fills_of(done))
+        rows = summarize(spark.read.parquet(f"file://{folder}/equity.parquet").withColumn("run_id", F.lit(run_id)), "run_id").drop("run_id").collect()
         if not rows:
             raise SystemExit("there are no prices in these days")
         result = rows[0].asDict()
-        runs.record(registry, a.command, a.strategy, {k: v for k, v in vars(a).items() if k != "root"}, result, "", w)
+        runs.record(registry, a.command, a.strategy, {k: v for k, v in vars(a).items() if k != "root"}, result, folder, w, run_id=run_id)
         show(result)
     elif a.command == "walkforward":
         found = research.walk_forward(prices, products, a.strategy, a.start, a.end, a.is_days, a.oos_days, a.trials, a.seed, a.warmup_days, a.cash, a.objective, a.impact)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .functions.costs import CostModel
 from .operators import features, metrics, panel, quality
-from .plans import live, research
+from .plans import live, research, rigor
 from .plans.simulate import backtest, curves_of, fills_of
 from .schemas import ASSET
 from .sources import panels
@@ -375,6 +375,49 @@ def walkforward_summary(spark, sf):
     return found["best"].join(found["oos"], F.format_string("%05d", "fold") == F.col("run_id")).drop("run_id")
 
 
+def _type_curves(spark, sf) -> DataFrame:
+    """The mean price of each type by day, as curves to compare."""
+    return panel_means(panels.brand_prices(spark, sf).withColumn("strategy", F.col("sub_type")))
+
+
+def panel_means(prices: DataFrame) -> DataFrame:
+    return prices.groupBy("strategy", "date").agg(F.avg("market").alias("equity"))
+
+
+TYPES = f"""{WITH}, curve AS (SELECT sub_type AS strategy, date, avg(market) AS equity FROM prices GROUP BY ALL),
+shared AS (SELECT * FROM curve WHERE date IN (SELECT date FROM curve GROUP BY date HAVING count(*) = (SELECT count(DISTINCT strategy) FROM curve))),
+daily AS (SELECT *, equity / lag(equity) OVER (PARTITION BY strategy ORDER BY date) - 1 AS r FROM shared),
+away AS (SELECT *, r - avg(r) OVER (PARTITION BY strategy) AS x FROM daily)"""
+
+
+@query(f"""{TYPES} SELECT strategy, round(arg_max(equity, date) / arg_min(equity, date) - 1, 6) AS total_return, round(avg(r), 6) AS mean, round(stddev_samp(r), 6) AS std,
+round(avg(r) / stddev_samp(r) * sqrt(365), 6) AS sharpe, round(avg(x ** 3) / avg(x ** 2) ** 1.5, 5) AS skew, round(avg(x ** 4) / avg(x ** 2) ** 2, 4) AS kurtosis,
+count(*) AS n_days, min(date) AS start, max(date) AS "end" FROM away GROUP BY strategy""")
+def evaluate_moments(spark, sf):
+    """What an evaluation says of each curve over the days that all share, before any draw."""
+    curves = _type_curves(spark, sf)
+    n = curves.select("strategy").distinct().count()
+    found = rounded(rigor.return_moments(metrics.aligned(curves, "strategy", n)), "total_return", "mean", "std", "sharpe")
+    return rounded(rounded(found, "skew", places=5), "kurtosis", places=4)
+
+
+@query()
+def evaluate_summary(spark, sf):
+    """The types' curves against the mean of all: intervals, deflated ratios and the check of the best."""
+    everything = panels.brand_prices(spark, sf).withColumn("strategy", F.lit("all"))
+    return rigor.evaluate(_type_curves(spark, sf), panel_means(everything).select("date", "equity"), draws=2000)
+
+
+@query(f"""{WITH}, d AS (SELECT date, product_id, sub_type, high - low AS a, market AS b FROM prices WHERE high IS NOT NULL AND low IS NOT NULL),
+r AS (SELECT date, rank() OVER (PARTITION BY date ORDER BY a) + (count(*) OVER (PARTITION BY date, a) - 1) / 2.0 AS a,
+             rank() OVER (PARTITION BY date ORDER BY b) + (count(*) OVER (PARTITION BY date, b) - 1) / 2.0 AS b FROM d)
+SELECT date, round(corr(a, b), 6) AS spearman FROM r GROUP BY date HAVING count(*) >= 3 AND corr(a, b) IS NOT NULL AND NOT isnan(corr(a, b))""")
+def rank_correlation(spark, sf):
+    """How well the spread ranks the assets of a day by price."""
+    scored = panels.brand_prices(spark, sf).withColumn("spread", F.col("high") - F.col("low"))
+    return rounded(research.spearman(scored, "spread", "market"), "spearman")
+
+
 def _returns(spark, sf) -> np.ndarray:
     """Daily returns of the event curve: a row a day, so the driver may hold them."""
     rows = metrics.drawdown_curve(_curve(spark, sf), "run_id").where("daily IS NOT NULL").orderBy("date").select("daily").collect()

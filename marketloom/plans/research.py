@@ -1,4 +1,4 @@
-"""Folds, search, walk-forward, stitching and rigor statistics."""
+"""Folds, search, walk-forward and stitching."""
 
 from __future__ import annotations
 
@@ -6,14 +6,12 @@ import datetime as dt
 import json
 import math
 import random
-from collections.abc import Iterable
-from statistics import NormalDist
 
-import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.metrics import summarize
+from .rigor import bootstrap_ci, deflated_sharpe, reality_check, sharpe  # noqa: F401
 from .simulate import RUNS, backtest, curves_of
 from .strategies import PARAMS, resolve
 
@@ -70,6 +68,24 @@ def walk_forward(prices: DataFrame, products: DataFrame, strategy: str, start: s
     return {"best": best, "oos": summarize(curves, "run_id"), "curve": stitch(curves)}
 
 
+def summarize_folds(in_sample: DataFrame, out_of_sample: DataFrame) -> DataFrame:
+    """Means over folds of each side's summaries (fold, total_return, cagr, max_drawdown, sharpe), how many folds there are, and the gap of the two sides' growth."""
+    sides = [df.agg(*(F.avg(c).alias(f"{side}_{c}") for c in ("total_return", "cagr", "max_drawdown", "sharpe")), F.count("*").alias(f"{side}_folds")) for side, df in (("is", in_sample), ("oos", out_of_sample))]
+    return sides[0].crossJoin(F.broadcast(sides[1])).withColumn("overfitting_gap", F.col("is_cagr") - F.col("oos_cagr"))  # a row each
+
+
+def spearman(scored: DataFrame, predicted: str, label: str) -> DataFrame:
+    """date and the rank correlation of two columns on that day, ties at their mean rank; days of fewer than three rows, or without spread, are left out."""
+
+    def rank(column: str):
+        same = Window.partitionBy("date", column)
+        return F.rank().over(Window.partitionBy("date").orderBy(column)) + (F.count("*").over(same) - 1) / 2
+
+    ranked = scored.where(F.col(predicted).isNotNull() & F.col(label).isNotNull()).select("date", rank(predicted).alias("a"), rank(label).alias("b"))
+    sums = ranked.groupBy("date").agg(F.count("*").alias("n"), F.covar_pop("a", "b").alias("both"), (F.stddev_pop("a") * F.stddev_pop("b")).alias("spread"))
+    return sums.withColumn("spearman", F.try_divide("both", "spread")).where("n >= 3 AND spearman IS NOT NULL").select("date", "spearman")
+
+
 def stitch(curves: DataFrame) -> DataFrame:
     """Out-of-sample curves chained: each is rescaled to begin at the level where the last ended. run_ids order the folds."""
     bounds = curves.groupBy("run_id").agg(F.min_by("equity", "date").alias("base"), F.max_by("equity", "date").alias("end"))
@@ -80,67 +96,6 @@ def stitch(curves: DataFrame) -> DataFrame:
     return curves.join(F.broadcast(levels), "run_id").select("run_id", "date", (F.col("level") * F.col("equity") / F.col("base")).alias("equity"))
 
 
-# --- statistics over a curve's returns: a few thousand numbers, one generator, one task -------------
-
-
-def block_indices(n: int, draws: int, block: float, rng: np.random.Generator) -> np.ndarray:
-    """A stationary bootstrap: wrapped blocks of geometric length with mean ``block``."""
-    if n < 2 or block < 1:
-        raise ValueError("a bootstrap needs two observations and blocks of 1 or more")
-    begins = rng.random((draws, n)) < 1 / block
-    anchors = rng.integers(0, n, size=(draws, n))
-    begins[:, 0] = True
-    where = np.maximum.accumulate(np.where(begins, np.arange(n), 0), axis=1)
-    return (np.take_along_axis(anchors, where, 1) + np.arange(n) - where) % n
-
-
-def sharpe(returns: np.ndarray) -> float:
-    deviation = returns.std(ddof=1) if len(returns) > 1 else 0.0
-    return float(returns.mean() / deviation) if deviation else 0.0
-
-
-def bootstrap_ci(returns: np.ndarray, metric: str = "total_return", draws: int = 10_000, block: float = 10.0, seed: int = 42, level: float = 0.95) -> tuple[float, float, float]:
-    """(point, low, high) of the total return or the annual Sharpe ratio."""
-    r = np.asarray(returns, float)
-    samples = r[block_indices(len(r), draws, block, np.random.default_rng(seed))]
-    if metric == "total_return":
-        point, found = np.prod(1 + r) - 1, np.prod(1 + samples, axis=1) - 1
-    else:
-        deviation = samples.std(axis=1, ddof=1)
-        point = sharpe(r) * math.sqrt(365)
-        found = np.divide(samples.mean(axis=1), deviation, out=np.zeros(draws), where=deviation > 0) * math.sqrt(365)
-    low, high = np.quantile(found, [(1 - level) / 2, (1 + level) / 2])
-    return float(point), float(low), float(high)
-
-
-def deflated_sharpe(returns: np.ndarray, trial_sharpes: Iterable[float]) -> float | None:
-    """The chance that the true Sharpe ratio is above that expected of the best of so many trials; None if it can't be told."""
-    r, trials = np.asarray(returns, float), np.asarray(list(trial_sharpes), float)
-    if len(trials) < 2:
-        raise ValueError("deflation needs two trials")
-    if len(r) < 3 or not r.std(ddof=1):
-        return None
-    k, normal, gamma = len(trials), NormalDist(), 0.5772156649015329
-    spread = math.sqrt(trials.var(ddof=1))
-    hurdle = spread * ((1 - gamma) * normal.inv_cdf(1 - 1 / k) + gamma * normal.inv_cdf(1 - 1 / (k * math.e))) if spread else 0.0
-    z = (r - r.mean()) / r.std()
-    mine = sharpe(r)
-    shape = 1 - (z**3).mean() * mine + ((z**4).mean() - 1) / 4 * mine**2
-    return normal.cdf((mine - hurdle) * math.sqrt(len(r) - 1) / math.sqrt(shape)) if shape > 0 else None
-
-
-def reality_check(excess: np.ndarray, draws: int = 10_000, block: float = 10.0, seed: int = 42, chunk: int = 1000) -> float:
-    """The p-value of the best of several strategies against a benchmark; the same days are drawn for all."""
-    x = np.atleast_2d(np.asarray(excess, float))
-    n, rng, means = x.shape[1], np.random.default_rng(seed), x.mean(axis=1)
-    seen = math.sqrt(n) * means.max()
-    beyond = 0
-    for at in range(0, draws, chunk):
-        drawn = x[:, block_indices(n, min(chunk, draws - at), block, rng)].mean(axis=2)
-        beyond += int((math.sqrt(n) * (drawn - means[:, None]).max(axis=0) >= seen).sum())
-    return beyond / draws
-
-
 def purged_split(days: list[dt.date], horizon: int, share: float = 0.15) -> tuple[list[dt.date], list[dt.date]]:
     """(train, validation): the last share of the days validates, and training days end a horizon before them."""
     days = sorted(set(days))

@@ -15,7 +15,7 @@ from dataclasses import dataclass, field
 from typing import NamedTuple
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.costs import CostModel
@@ -174,7 +174,7 @@ def run_fold(days: dict[dt.date, dict[Asset, tuple]], meta: dict, strategy, star
 def bars(prices: DataFrame, products: DataFrame) -> DataFrame:
     """Prints with what the catalogue says of their product."""
     catalogue = products.select("product_id", F.col("kind").alias("product_kind"), "released_on")
-    return prices.select("date", *ASSET, "market", "mid", "low").join(F.broadcast(catalogue), "product_id", "left")
+    return prices.select("date", *ASSET, "market", "mid", "low").join(catalogue, "product_id", "left")
 
 
 def read_window(rows: pd.DataFrame) -> tuple[dict[dt.date, dict[Asset, tuple]], dict[int, tuple]]:
@@ -189,8 +189,40 @@ def read_window(rows: pd.DataFrame) -> tuple[dict[dt.date, dict[Asset, tuple]],
     return days, meta
 
 
-def backtest(prices: DataFrame, products: DataFrame, runs: DataFrame) -> DataFrame:
-    """Fills and equity of all runs (schema RUNS), tagged by ``kind``; a run without prints has no rows.
+#: Holdings that a run may begin with.
+MOST_HOLDINGS = 100_000
+HOLDINGS = "product_id BIGINT, sub_type STRING, quantity BIGINT, avg_cost DOUBLE, opened_on DATE"
+
+
+def read_holdings(spark: SparkSession, path: str) -> DataFrame:
+    """Holdings of a CSV file with a header; a file without its columns, or with others, is an error."""
+    found = spark.read.option("header", True).csv(path)
+    names = [c.split()[0] for c in HOLDINGS.split(", ")]
+    if sorted(found.columns) != sorted(names):
+        raise ValueError(f"holdings have the columns {', '.join(names)}")
+    return spark.read.option("header", True).option("mode", "FAILFAST").option("enforceSchema", False).schema(", ".join(next(c for c in HOLDINGS.split(", ") if c.split()[0] == n) for n in found.columns)).csv(path).select(*names)
+
+
+def checked_holdings(prices: DataFrame, holdings: DataFrame, start: str, end: str, warmup: int = 0) -> list[tuple]:
+    """The holdings as rows of a run, if each asset prints in the run's days and has a mark on the first of them; else ValueError."""
+    rows = holdings.orderBy(*ASSET).limit(MOST_HOLDINGS + 1).collect()
+    if len(rows) > MOST_HOLDINGS:
+        raise ValueError(f"a run begins with {MOST_HOLDINGS} holdings at most")
+    first, last = F.lit(start).cast("date"), F.lit(end).cast("date")
+    window = prices.where(F.col("date").between(F.date_sub(first, warmup), last))
+    day = window.where(F.col("date") >= first).agg(F.min("date")).first()[0]
+    if rows and day is None:
+        raise ValueError("there is no trading day to begin with holdings")
+    within = window.groupBy(*ASSET).agg(F.max((F.col("date") >= first).cast("int")).alias("prints"), F.min("date").alias("since"))
+    for r in holdings.join(within, [*ASSET], "left").where("prints IS NULL OR prints = 0").orderBy(*ASSET).limit(1).collect():
+        raise ValueError(f"{(r['product_id'], r['sub_type'])} doesn't print from {start} to {end}")
+    for r in holdings.join(within, [*ASSET]).where(F.col("since") > F.lit(day)).orderBy(*ASSET).limit(1).collect():
+        raise ValueError(f"{(r['product_id'], r['sub_type'])} has no price on or before {day}")
+    return [((r["product_id"], r["sub_type"]), r["quantity"], r["avg_cost"], r["opened_on"]) for r in rows]
+
+
+def backtest(prices: DataFrame, products: DataFrame, runs: DataFrame, holdings: list[tuple] = ()) -> DataFrame:
+    """Fills and equity of all runs (schema RUNS), tagged by ``kind``; a run without prints has no rows. Each run begins with ``holdings``, of ``checked_holdings``.
 
     ``runs`` is a plan made by its caller, not data, and is broadcast with its
     windows; each run's slice of the panel goes to one task.
@@ -201,7 +233,7 @@ def backtest(prices: DataFrame, products: DataFrame, runs: DataFrame) -> DataFra
         run = rows.iloc[0]
         days, meta = read_window(rows)
         strategy = make_strategy(run["strategy"], json.loads(run["params"]))
-        fills, curve = run_fold(days, meta, strategy, run["start"], float(run["cash"]), CostModel(impact=bool(run["impact"])))
+        fills, curve = run_fold(days, meta, strategy, run["start"], float(run["cash"]), CostModel(impact=bool(run["impact"])), list(holdings))
         out = [(key[0], "fill", f.day, f.asset[0], f.asset[1], f.quantity, f.price, f.fees, f.impact, None) for f in fills]
         out += [(key[0], "equity", day, None, None, None, None, None, None, e) for day, e in curve]
         frame = pd.DataFrame(out, columns=[c.split()[0] for c in OUTPUT.split(", ")])

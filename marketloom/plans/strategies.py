@@ -30,7 +30,7 @@ PARAMS: dict[str, tuple[Param, ...]] = {
 
 
 def resolve(name: str, given: dict) -> dict:
-    """Defaults filled in, values coerced (a float string for an int is cut) and checked; unknown names are errors."""
+    """Defaults filled in, values coerced (a float string for an int is cut) and held against their range; unknown names are errors."""
     if name not in PARAMS:
         raise ValueError(f"no strategy {name!r}; there are {', '.join(PARAMS)}")
     known = {p.name: p for p in PARAMS[name]}
@@ -41,8 +41,10 @@ def resolve(name: str, given: dict) -> dict:
         value = given.get(p.name, p.default)
         try:
             out[p.name] = str(value) if p.kind is str else int(float(value)) if p.kind is int else float(value)
-        except ValueError as e:
+        except (TypeError, ValueError, OverflowError) as e:
             raise ValueError(f"{name}: {p.name} can't be {value!r}") from e
+        if p.kind is not str and not p.low <= out[p.name] <= p.high:
+            raise ValueError(f"{name}: {p.name} is {out[p.name]}, outside {p.low} to {p.high}")
     return out
 
 

@@ -29,7 +29,8 @@ class Warehouse:
         return sorted(d for d in days if any(f.isFile() for f in self._status(f"{name}/date={d}") or []))
 
     def has_day(self, day: str) -> bool:
-        return day in self.stored_days()
+        files = self._status(f"prices/date={day}") if re.fullmatch(r"\d{4}-\d{2}-\d{2}", day) else None
+        return any(f.isFile() for f in files or [])
 
     def load_prices(self) -> DataFrame:
         if not self.stored_days():
@@ -50,8 +51,7 @@ class Warehouse:
         self._write(df, "prices")
 
     def write_quarantine(self, df: DataFrame) -> None:
-        if not df.isEmpty():
-            self._write(df, "quarantine")
+        self._write(df, "quarantine")  # of no rows it makes no partition
 
     def write_products(self, df: DataFrame) -> None:
         df.write.mode("overwrite").parquet(f"{self.root}/products")
@@ -66,4 +66,7 @@ class Warehouse:
         return self.spark.sql(sql)
 
     def fingerprint(self) -> DataFrame:
-        return self.query("SELECT min(date) AS first, max(date) AS last, count(*) AS n FROM prices")
+        """first, last and n of the stored prices."""
+        if not self.stored_days():
+            raise FileNotFoundError(f"no prices under {self.root}")
+        return self.load_prices().agg(F.min("date").alias("first"), F.max("date").alias("last"), F.count("*").alias("n"))

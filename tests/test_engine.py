@@ -223,3 +223,52 @@ def test_registered_backtests_run_over_the_whole_panel(spark):
     assert {r["fold"]: r["oos_end"] for r in rows} == folds and (max(days) - max(folds.values())).days < 60
     tried = [json.dumps(p, sort_keys=True) for p in sample_params("sealed-accumulation", 42, 25)]
     assert {r["params"] for r in rows} <= set(tried)
+
+
+def test_parameters_are_held_against_their_range():
+    from marketloom.plans.strategies import resolve
+
+    assert resolve("dip-buyer", {"window": "7.9"})["window"] == 7
+    for bad in ({"threshold": 5}, {"threshold": "nan"}, {"window": "inf"}, {"max_positions": -3}, {"hold": None}):
+        with pytest.raises(ValueError):
+            resolve("dip-buyer", bad)
+
+
+def test_evaluation(spark):
+    from marketloom.plans import rigor
+
+    rng, days = np.random.default_rng(3), [D(2024, 1, 1) + dt.timedelta(k) for k in range(200)]
+    edge, flat, base = (np.cumprod(1 + r) for r in (rng.normal(0.01, 0.01, 200), rng.normal(0, 0.01, 200), rng.normal(0, 0.01, 200)))
+    rows = [(n, d, float(v)) for n, x in (("edge", edge), ("flat", flat)) for d, v in zip(days, x)]
+    curves = spark.createDataFrame(rows, "strategy STRING, date DATE, equity DOUBLE")
+    bench = spark.createDataFrame([(d, float(v)) for d, v in zip(days[50:], base[50:])], "date DATE, equity DOUBLE")
+    got = {r["strategy"]: r for r in rigor.evaluate(curves, bench, draws=400).collect()}
+    assert got["edge"]["n_days"] == 150 and got["edge"]["start"] == days[50]
+    assert np.isclose(got["edge"]["total_return"], edge[-1] / edge[50] - 1) and got["edge"]["low"] < got["edge"]["total_return"] < got["edge"]["high"]
+    assert got["edge"]["reality_p"] < 0.05 and got["edge"]["deflated"] > got["flat"]["deflated"]
+    r = np.diff(flat[50:]) / flat[50:-1]
+    ratios = [rigor.sharpe(np.diff(x[50:]) / x[50:-1]) for x in (edge, flat)]
+    assert np.isclose(got["flat"]["deflated"], rigor.deflated_sharpe(r, ratios))
+    assert np.isclose(rigor.bootstrap_ci(r, draws=400)[1], got["flat"]["low"])
+    with pytest.raises(ValueError, match="two strategies"):
+        rigor.evaluate(curves.where("strategy = 'edge'"), bench)
+    with pytest.raises(ValueError, match="days"):
+        rigor.evaluate(curves, bench.limit(59))
+
+
+def test_holdings_seed_a_run(spark, tmp_path):
+    from marketloom.plans import simulate
+
+    prices = spark.createDataFrame([(D(2024, 3, k), 1, "Normal", 1.0, 2.0, 3.0, 10.0 + k) for k in (1, 2, 3)] + [(D(2024, 3, 3), 2, "Normal", 1.0, 2.0, 3.0, 5.0)], "date DATE, product_id BIGINT, sub_type STRING, low DOUBLE, mid DOUBLE, high DOUBLE, market DOUBLE")
+    products = spark.createDataFrame([(1, "single", None)], "product_id BIGINT, kind STRING, released_on DATE")
+    (tmp_path / "h.csv").write_text("product_id,sub_type,quantity,avg_cost,opened_on\n1,Normal,4,9.5,2024-02-01\n")
+    held = simulate.checked_holdings(prices, simulate.read_holdings(spark, str(tmp_path / "h.csv")), "2024-03-01", "2024-03-03")
+    result = simulate.backtest(prices, products, research.one_run(spark, "buy-and-hold", "2024-03-01", "2024-03-03", cash=0.0), held)
+    assert [r["equity"] for r in simulate.curves_of(result).orderBy("date").collect()] == [44.0, 48.0, 52.0]
+    for product, why in ((2, "no price on or before"), (3, "doesn't print")):
+        other = spark.createDataFrame([(product, "Normal", 1, 1.0, D(2024, 1, 1))], simulate.HOLDINGS)
+        with pytest.raises(ValueError, match=why):
+            simulate.checked_holdings(prices, other, "2024-03-01", "2024-03-03")
+    (tmp_path / "bad.csv").write_text("product_id,quantity\n1,4\n")
+    with pytest.raises(ValueError, match="columns"):
+        simulate.read_holdings(spark, str(tmp_path / "bad.csv"))
