@@ -411,11 +411,11 @@ def evaluate_summary(spark, sf):
 @query(f"""{WITH}, d AS (SELECT date, product_id, sub_type, high - low AS a, market AS b FROM prices WHERE high IS NOT NULL AND low IS NOT NULL),
 r AS (SELECT date, rank() OVER (PARTITION BY date ORDER BY a) + (count(*) OVER (PARTITION BY date, a) - 1) / 2.0 AS a,
              rank() OVER (PARTITION BY date ORDER BY b) + (count(*) OVER (PARTITION BY date, b) - 1) / 2.0 AS b FROM d)
-SELECT date, round(corr(a, b), 6) AS spearman FROM r GROUP BY date HAVING count(*) >= 3 AND corr(a, b) IS NOT NULL AND NOT isnan(corr(a, b))""")
+SELECT date, round(corr(a, b), 6) + 0.0 AS spearman FROM r GROUP BY date HAVING count(*) >= 3 AND corr(a, b) IS NOT NULL AND NOT isnan(corr(a, b))""")
 def rank_correlation(spark, sf):
     """How well the spread ranks the assets of a day by price."""
     scored = panels.brand_prices(spark, sf).withColumn("spread", F.col("high") - F.col("low"))
-    return rounded(research.spearman(scored, "spread", "market"), "spearman")
+    return rounded(research.spearman(scored, "spread", "market"), "spearman").withColumn("spearman", F.col("spearman") + F.lit(0.0))  # no negative zero
 
 
 def _returns(spark, sf) -> np.ndarray:
