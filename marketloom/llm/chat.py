@@ -116,7 +116,8 @@ def chat_format(messages: DataFrame) -> DataFrame:
     table gives no rows; further columns are not read. No conversation is gathered
     into one row or task, since one may hold a third of all.
     """
-    parsed = parse(messages)
+    # written once: else each of the plans below parses all texts anew, and exploding an array that is still an expression costs its square
+    parsed = materialize(parse(messages), "parsed")
     found = materialize(links(parsed), "links")
     placed = found.join(threads(found), ["conv_id", "turn"])
     joined = parsed.drop("units").join(placed, ["conv_id", "turn"], "left")
