@@ -4,7 +4,8 @@ A message's lines carry quote marks (``>``, ``>>``, ``> >``); their number is th
 level. A run of lines of one level is a passage: its line ends count as spaces, so
 a quote that was wrapped anew is the same passage. Runs, their paragraphs and their
 lines are normalised and hashed; quoted ones are joined to those that earlier
-messages of the conversation say themselves, by hash and then by text. The message
+messages of the conversation say themselves. 256 bits of SHA-2 stand for a text, so
+that texts needn't be dealt out and compared to tell them apart. The message
 that says the longest passage quoted at the lowest level found is what the quoting
 one replies to, of equally long ones the latest. Messages are laid out without
 quotes in reply order: each thread together, by the turn of its first message.
@@ -37,7 +38,7 @@ def quoted_lines(messages: DataFrame) -> DataFrame:
 
 
 def parse(messages: DataFrame) -> DataFrame:
-    """conv_id, turn, role, body (the text without quotes, trimmed) and ``units``: (level, passage) of its runs, paragraphs and lines, distinct."""
+    """conv_id, turn, role, body (the text without quotes, trimmed) and ``units``: (level, hash, length) of the passages that its runs, paragraphs and lines make, distinct."""
     parsed = quoted_lines(messages.select("conv_id", "turn", "role", "text"))
     own = F.filter("lines", lambda x: x["level"] == 0)
     # a run begins where the level differs from the line before
@@ -48,22 +49,23 @@ def parse(messages: DataFrame) -> DataFrame:
     parsed = parsed.withColumn("runs", runs)
     parts = lambda pattern: F.flatten(F.transform("runs", lambda r: F.transform(F.split(r["body"], pattern), lambda p: F.struct(r["level"].alias("level"), passage(p).alias("passage")))))
     whole = F.transform("runs", lambda r: F.struct(r["level"].alias("level"), passage(r["body"]).alias("passage")))
-    units = F.filter(F.array_distinct(F.concat(whole, parts(r"\n[ \t]*\n"), parts(END))), lambda u: u["passage"] != "")
+    found = F.filter(F.array_distinct(F.concat(whole, parts(r"\n[ \t]*\n"), parts(END))), lambda u: u["passage"] != "")
+    units = F.transform(found, lambda u: F.struct(u["level"].alias("level"), F.unhex(F.sha2(u["passage"], 256)).alias("hash"), F.length(u["passage"]).alias("long")))
     quoted = F.size(F.array_distinct(F.filter(whole, lambda u: (u["level"] > 0) & (u["passage"] != ""))))
     return parsed.select("conv_id", "turn", "role", F.trim(F.array_join(F.transform(own, lambda x: x["body"]), END)).alias("body"), units.alias("units"), quoted.cast("long").alias("n_quoted"))
 
 
 def links(parsed: DataFrame) -> DataFrame:
     """conv_id, turn, reply_to: for each message that quotes, the earlier message that itself says the longest passage quoted at the lowest level found; of equally long ones the latest."""
-    placed = parsed.where("conv_id IS NOT NULL AND turn IS NOT NULL").select("conv_id", "turn", F.explode("units").alias("u")).select("conv_id", "turn", "u.level", F.xxhash64("u.passage").alias("hash"), "u.passage")
+    placed = parsed.where("conv_id IS NOT NULL AND turn IS NOT NULL").select("conv_id", "turn", F.explode("units").alias("u")).select("conv_id", "turn", "u.level", "u.hash", "u.long")
     quotes = placed.where("level > 0").distinct()
-    words = ["conv_id", "hash", "passage"]  # by hash, then by text
+    words = ["conv_id", "hash"]
     key = [*words, "block"]
     # only passages that someone quotes; one said twice in a turn counts once
     said = placed.where("level = 0").select("turn", *words).join(quotes.select(*words).distinct(), words, "left_semi").distinct()
     # one ordered pass a block of turns, so that a passage said and quoted all over a long conversation is many small groups
-    both = quotes.select(*words, "turn", "level", F.lit(None).cast("long").alias("origin"))
-    both = both.unionByName(said.select(*words, "turn", F.lit(None).cast("int").alias("level"), F.col("turn").cast("long").alias("origin")))
+    both = quotes.select(*words, "turn", "level", "long", F.lit(None).cast("long").alias("origin"))
+    both = both.unionByName(said.select(*words, "turn", F.lit(None).cast("int").alias("level"), F.lit(None).cast("int").alias("long"), F.col("turn").cast("long").alias("origin")))
     both = both.withColumn("block", F.floor(F.col("turn") / BLOCK))
     # quotes come before what is said in the same turn: an origin is strictly earlier
     inside = Window.partitionBy(*key).orderBy("turn", F.col("origin").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
@@ -71,7 +73,7 @@ def links(parsed: DataFrame) -> DataFrame:
     earlier = Window.partitionBy(*words).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     blocks = both.groupBy(*key).agg(F.max("origin").alias("last")).withColumn("before", F.max("last").over(earlier)).drop("last")
     found = told.join(blocks, key).withColumn("origin", F.coalesce("within", "before").cast(parsed.schema["turn"].dataType)).where("origin IS NOT NULL")
-    best = found.groupBy("conv_id", "turn").agg(F.max(F.struct((-F.col("level")).alias("near"), F.length("passage").alias("long"), "origin")).alias("best"))
+    best = found.groupBy("conv_id", "turn").agg(F.max(F.struct((-F.col("level")).alias("near"), "long", "origin")).alias("best"))
     return best.select("conv_id", "turn", F.col("best.origin").alias("reply_to"))
 
 
