@@ -35,14 +35,15 @@ class Words(dict):
     of a special token, go through the library whole, which gives that token's id.
     """
 
-    def __init__(self, body: str, limit: int = 250_000):
+    def __init__(self, body: str, limit: int = 500_000):
         import regex
         from tokenizers import Tokenizer
 
         super().__init__()
         self.limit, self.whole = limit, Tokenizer.from_str(body)
         # the library finds these in a text before it splits or lower-cases anything
-        self.special = re.compile("|".join(re.escape(t.content) for t in self.whole.get_added_tokens_decoder().values()) or r"(?!)").search
+        names = [t.content for t in self.whole.get_added_tokens_decoder().values()]
+        self.sign, self.special = os.path.commonprefix(names), re.compile("|".join(map(re.escape, names)) or r"(?!)").search
         self.model = self.whole.model
         config = json.loads(body)
         steps = config["pre_tokenizer"]["pretokenizers"]
@@ -51,7 +52,7 @@ class Words(dict):
         self.plain = re.compile("[!-~\xa1-\u017f]+").fullmatch if simple else lambda word: None  # stable under NFC
         self.find = regex.compile(steps[0]["pattern"]["Regex"]).findall if simple else None
         self.shown = byte_letters()
-        self.pieces = BoundedCache(self.piece, limit)
+        self.pieces = BoundedCache(self.piece, limit // 2)
 
     def piece(self, piece: str) -> bytes:
         return np.array([t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.shown))], "<u4").tobytes()
@@ -60,7 +61,7 @@ class Words(dict):
         if len(self) >= self.limit:
             self.clear()
         text = word.decode()
-        if self.plain(text) and not self.special(text):
+        if self.plain(text) and (self.sign not in text or not self.special(text)):
             ids = b"".join(map(self.pieces.__getitem__, self.find(text.lower())))
         else:
             ids = np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
