@@ -35,12 +35,12 @@ class Words(dict):
     of a special token, go through the library whole, which gives that token's id.
     """
 
-    def __init__(self, body: str, limit: int = 500_000):
+    def __init__(self, body: str, limit: int = 300_000):
         import regex
         from tokenizers import Tokenizer
 
         super().__init__()
-        self.limit, self.whole = limit, Tokenizer.from_str(body)
+        self.limit, self.older, self.whole = limit, {}, Tokenizer.from_str(body)
         # the library finds these in a text before it splits or lower-cases anything
         names = [t.content for t in self.whole.get_added_tokens_decoder().values()]
         self.sign, self.special = os.path.commonprefix(names), re.compile("|".join(map(re.escape, names)) or r"(?!)").search
@@ -58,8 +58,13 @@ class Words(dict):
         return np.array([t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.shown))], "<u4").tobytes()
 
     def __missing__(self, word: bytes) -> bytes:
-        if len(self) >= self.limit:
+        """A word met lately is taken over from the older half of the memo, so that filling it up forgets rare words only."""
+        if 2 * len(self) >= self.limit:
+            self.older = dict(self)
             self.clear()
+        if (ids := self.older.get(word)) is not None:
+            self[word] = ids
+            return ids
         text = word.decode()
         if self.plain(text) and (self.sign not in text or not self.special(text)):
             ids = b"".join(map(self.pieces.__getitem__, self.find(text.lower())))
