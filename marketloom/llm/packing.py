@@ -35,7 +35,7 @@ class Words(dict):
     of a special token, go through the library whole, which gives that token's id.
     """
 
-    def __init__(self, body: str, limit: int = 300_000):
+    def __init__(self, body: str, limit: int = 440_000):
         import regex
         from tokenizers import Tokenizer
 
