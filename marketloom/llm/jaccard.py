@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_map, discard, materialize, table, word_digests
+from .common import BLANKS, arrow_map, discard, materialize, table
 
 #: Bytes of the sets that one task joins; pivots of a larger region in a round (at most 62); members of a cell that are compared one by one.
 LEAF_BYTES, PIVOTS, FEW = 32 << 20, 24, 8
@@ -36,22 +36,93 @@ LEAF_BYTES, PIVOTS, FEW = 32 << 20, 24, 8
 BLOCK, HELD, LEAST_BLOCKS = 2_000_000, 2_000_000, 32
 #: Sets of a batch that hold a shingle for it to be counted; shingles that are sent last, 8 bytes each to every task.
 FREQUENT, COMMON = 4, 200_000
+#: Bytes of texts whose sets are made together.
+CHUNK = 1 << 20
+#: Bytes of a word that are hashed eight by eight; longer words are hashed one by one.
+LONG = 64
+#: Whether a byte belongs to a word.
+LETTERS = ~np.isin(np.arange(256), list(BLANKS))
 MEMBERS = "region string, rep long, n long, known boolean, tokens binary"
 
 
-def shingles(text: str | None, width: int) -> np.ndarray:
-    """The sorted distinct shingles of a whole text, A-Z lower-cased; with fewer words all of them make one; without words there are none."""
-    words = (text or "").encode().lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    w = np.frombuffer(b"".join(map(word_digests().__getitem__, words)), "<u8")
-    k = min(width, len(w))
-    h = np.full(len(w) - k + 1, np.uint64(k * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
-    for i in range(k):
-        h = (h ^ w[i : len(w) - k + 1 + i]) * np.uint64(0xD6E8FEB86659FD93)
-        h ^= h >> np.uint64(32)
-    h.sort()
-    return h[np.concatenate(([True], h[1:] != h[:-1]))]
+def word_hashes(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+    """(64 bits for each word of each text, A-Z lower-cased; the number of each text's words)."""
+    import xxhash
+
+    body = b" ".join([t or b"" for t in texts]).lower() + b" " * 8
+    letter = LETTERS[np.frombuffer(body, np.uint8)]
+    turn = np.flatnonzero(letter[1:] != letter[:-1]) + 1
+    begin, end = (turn[1::2], turn[2::2]) if letter[0] else (turn[::2], turn[1::2])
+    if letter[0]:
+        begin, end = np.concatenate(([0], begin)), turn[::2]
+    size = end - begin
+    eight = np.ndarray(len(body) - 7, "<u8", body, strides=(1,))  # the eight bytes from each place on
+    h = size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    rest = np.arange(len(h))
+    for k in range(0, LONG, 8):
+        rest = rest[size[rest] > k]
+        if not len(rest):
+            break
+        bits = np.uint64(8) * np.minimum(size[rest] - k, 8).astype(np.uint64)
+        x = (h[rest] ^ eight[begin[rest] + k] & np.uint64((1 << 64) - 1) >> (np.uint64(64) - bits)) * np.uint64(0xD6E8FEB86659FD93)
+        h[rest] = x ^ x >> np.uint64(32)
+    for i in np.flatnonzero(size > LONG).tolist():
+        h[i] = xxhash.xxh3_64_intdigest(body[begin[i] : end[i]])
+    place = np.cumsum([len(t or b"") + 1 for t in texts])
+    return h, np.diff(np.searchsorted(begin, place), prepend=0)
+
+
+def shingle_sets(texts: list[bytes | None], width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(shingles, sizes): the sorted distinct shingles of each whole text, A-Z lower-cased, one set after the other; with fewer words all of them make one; without words there are none."""
+    w, count = word_hashes(texts)
+    end, total = np.cumsum(count), len(w)
+    if not total:
+        return np.zeros(0, np.uint64), np.zeros(len(texts), np.int64)
+    h, begins = np.zeros(total, np.uint64), np.ones(total, bool)  # a shingle begins at each word but a text's last width - 1
+
+    def hashed(at: np.ndarray | slice, k: int) -> None:
+        x = np.full(len(range(total)[at]) if isinstance(at, slice) else len(at), np.uint64(k * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
+        for i in range(k):
+            x ^= w[i : total - k + 1 + i] if isinstance(at, slice) else w[at + i]
+            x *= np.uint64(0xD6E8FEB86659FD93)
+            x ^= x >> np.uint64(32)
+        h[at] = x
+
+    if total >= width:
+        hashed(slice(0, total - width + 1), width)
+    for k in range(1, width):
+        begins[(end - k)[count >= k]] = False
+    for k in range(1, width):
+        short = (end - count)[count == k]
+        begins[short] = True
+        hashed(short, k)
+    h, size = h[begins], np.where(count >= width, count - width + 1, np.minimum(count, 1))
+    end = np.cumsum(size)
+    for a, b in zip((end - size).tolist(), end.tolist(), strict=True):
+        h[a:b].sort()
+    new = np.concatenate(([True], h[1:] != h[:-1]))
+    new[(end - size)[size > 0]] = True
+    return h[new], np.diff(np.concatenate(([0], np.cumsum(new)))[end], prepend=0)
+
+
+def in_chunks(column: pa.Array) -> Iterator[list[bytes | None]]:
+    """A column of texts in lists of CHUNK bytes or little more, which numpy handles at once."""
+    held, n = [], 0
+    for text in column.cast(pa.binary()).to_pylist():
+        held.append(text)
+        n += len(text or b"")
+        if n >= CHUNK or len(held) >= CHUNK >> 6:
+            yield held
+            held, n = [], 0
+    if held:
+        yield held
+
+
+def sets_of(column: pa.Array, width: int) -> Iterator[np.ndarray]:
+    """The set of each text of a column."""
+    for texts in in_chunks(column):
+        flat, sizes = shingle_sets(texts, width)
+        yield from np.split(flat, np.cumsum(sizes)[:-1])
 
 
 def set_key(tokens: np.ndarray) -> bytes:
@@ -98,6 +169,11 @@ class Tags:
         at = int(np.searchsorted(self.highs, n))
         return self.tags[at], self.tags[at + 1]
 
+    def table(self, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The number of each size's first tag (the second is the next one), and ``differ``, ``parts`` and ``rich`` of all tags."""
+        self.of(int(sizes.max()))
+        return np.searchsorted(self.highs, sizes), *(np.array([getattr(t, x) for t in self.tags], np.int64) for x in ("differ", "parts", "rich"))
+
 
 @lru_cache(maxsize=8)
 def tags_of(percent: int) -> Tags:
@@ -112,7 +188,12 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 
 def signatures(tokens: np.ndarray, percent: int, common: np.ndarray | None = None) -> np.ndarray:
-    """Digests of which two different linked sets share at least one.
+    """The signatures of one set."""
+    return set_signatures(tokens, np.array([len(tokens)]), percent, common)[0]
+
+
+def set_signatures(flat: np.ndarray, sizes: np.ndarray, percent: int, common: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(digests of which two different linked sets share at least one, the number of each one's set); the sets lie one after the other.
 
     Under each of its tags a set sends its rich parts. Linked sets agree on
     parts - differ of them, so on ``sure`` rich ones, if that many less the poor
@@ -123,31 +204,41 @@ def signatures(tokens: np.ndarray, percent: int, common: np.ndarray | None = Non
     these come last in an order of all parts: then a set needn't send its last
     sure - 1, since the first of the shared ones isn't among them, for either set.
     """
-    out, sums, high = [], np.concatenate((np.zeros(1, np.uint64), np.cumsum(_mixed(tokens)))), tokens >> np.uint64(32)
+    if not len(flat):
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    out, owners = [], []
+    start, end, high = np.cumsum(sizes) - sizes, np.cumsum(sizes), flat >> np.uint64(32)
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_mixed(flat))))
+    usual = None
     if common is not None and len(common):
-        found = common[np.minimum(np.searchsorted(common, tokens), len(common) - 1)] == tokens
-        usual = np.concatenate(([0], np.cumsum(found)))
-    else:
-        usual = None
-    for tag in tags_of(percent).of(len(tokens)):
-        if not tag.differ:
-            continue  # only equal sets link
-        part = (high * np.uint64(tag.parts)) >> np.uint64(32)  # as ordered as the tokens
-        bounds = np.searchsorted(part, np.arange(tag.parts + 1, dtype=np.uint64))
-        rich = np.flatnonzero(np.diff(bounds) >= tag.rich)
-        name = np.uint64(tag.number << 40)
-        signs = (sums[bounds[rich + 1]] - sums[bounds[rich]]) ^ _mixed(rich.astype(np.uint64) + name)
-        sure = len(rich) - tag.differ
-        if usual is not None and sure > 1:
-            last = np.flatnonzero(usual[bounds[rich + 1]] - usual[bounds[rich]] == bounds[rich + 1] - bounds[rich])
-            if len(last) > sure - 1:
-                last = last[np.argsort(signs[last])[-(sure - 1) :]]
-            signs = np.delete(signs, last)
+        usual = np.concatenate(([0], np.cumsum(common[np.minimum(np.searchsorted(common, flat), len(common) - 1)] == flat)))
+    first, differs, all_parts, riches = tags_of(percent).table(sizes)
+    for number in (first, first + 1):
+        differ, parts, base = differs[number], all_parts[number], np.cumsum(all_parts[number]) - all_parts[number]
+        live, name = (differ > 0) & (sizes > 0), number.astype(np.uint64) << np.uint64(40)  # else only equal sets link
+        cell = (high * np.repeat(parts.astype(np.uint64), sizes)) >> np.uint64(32)  # as ordered as the tokens
+        new = np.concatenate(([True], cell[1:] != cell[:-1]))
+        new[start[sizes > 0]] = True
+        begin = np.flatnonzero(new)
+        finish, owner = np.append(begin[1:], len(flat)), np.searchsorted(end, begin, "right")
+        rich = (finish - begin >= riches[number][owner]) & live[owner]
+        begin, finish, owner = begin[rich], finish[rich], owner[rich]
+        signs = (sums[finish] - sums[begin]) ^ _mixed(cell[begin] + name[owner])
+        sure = np.bincount(owner, minlength=len(sizes)) - differ
+        if usual is not None:
+            last = np.flatnonzero((usual[finish] - usual[begin] == finish - begin) & (sure[owner] > 1))
+            last = last[np.lexsort((~signs[last], owner[last]))]
+            of = owner[last]
+            last = last[np.arange(len(of)) - np.searchsorted(of, of) < sure[of] - 1]
+            signs, owner = np.delete(signs, last), np.delete(owner, last)
         out.append(signs)
-        if sure < 1:
-            n = len(tokens)
-            out.append(tokens[: n - (percent * n + 99) // 100 + 1] ^ _mixed(np.array([name + np.uint64(1 << 39)]))[0])
-    return _mixed(np.concatenate(out)) if out else np.zeros(0, np.uint64)
+        owners.append(owner)
+        if len(poor := np.flatnonzero(live & (sure < 1))):
+            take = sizes[poor] - (percent * sizes[poor] + 99) // 100 + 1
+            at = np.arange(take.sum()) + np.repeat(start[poor] - np.cumsum(take) + take, take)
+            out.append(flat[at] ^ np.repeat(_mixed(name[poor] + np.uint64(1 << 39)), take))
+            owners.append(np.repeat(poor, take))
+    return _mixed(np.concatenate(out)), np.concatenate(owners)
 
 
 def hanging(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -168,25 +259,31 @@ def hanging(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def together(signs: np.ndarray, owner: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(label of each owner, the distinct signatures in order, one owner of each): owners that share a signature hang together."""
-    order = np.argsort(signs, kind="stable")
-    signs, owner = signs[order], owner[order]
-    first = np.concatenate(([True], signs[1:] != signs[:-1]))
-    start = np.flatnonzero(first)
-    head = np.repeat(owner[start], np.diff(np.append(start, len(signs))))
-    edges = np.unique(np.stack([head, owner])[:, ~first], axis=1) if not first.all() else np.zeros((2, 0), np.int64)
-    label = hanging(n, *edges)
+    """(label of each owner, the distinct signatures in order, one owner of each): owners that share the upper 44 bits of a signature hang together; there are at most a million owners."""
+    packed = np.sort(signs & ~np.uint64((1 << 20) - 1) | owner.astype(np.uint64))
+    signs, owner = packed & ~np.uint64((1 << 20) - 1), (packed & np.uint64((1 << 20) - 1)).astype(np.int64)
+    same = np.flatnonzero(signs[1:] == signs[:-1])
+    label = hanging(n, *spanning(owner[same], owner[same + 1]))
+    start = np.flatnonzero(np.concatenate(([True], signs[1:] != signs[:-1])))
     return label, signs[start], label[owner[start]]
 
 
+def spanning(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct edges of a-b, both under 2**32."""
+    edges = np.unique(a.astype(np.uint64) << np.uint64(32) | b.astype(np.uint64))
+    return (edges >> np.uint64(32)).astype(np.int64), (edges & np.uint64((1 << 32) - 1)).astype(np.int64)
+
+
 def set_table(docs: DataFrame, width: int) -> DataFrame:
     """doc_id, n_shingles, key (a digest of the set) and short (64 bits of it) of every row; and in one row of a batch ``often``, shingles of FREQUENT and more of its sets, with their counts."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sets = [shingles(t, width) for t in batch.column(1).to_pylist()]
+        sets = list(sets_of(batch.column(1), width))
         keys = [set_key(s) for s in sets]
-        found, count = np.unique(np.concatenate(list(dict(zip(keys, sets, strict=True)).values())), return_counts=True)
-        often = np.stack([found, count.astype(np.uint64)], 1)[count >= FREQUENT].tobytes()
+        held = np.sort(np.concatenate(list(dict(zip(keys, sets, strict=True)).values())))
+        found = np.unique(held[FREQUENT - 1 :][held[FREQUENT - 1 :] == held[: len(held) - FREQUENT + 1]])
+        count = np.searchsorted(held, found, "right") - np.searchsorted(held, found)
+        often = np.stack([found, count.astype(np.uint64)], 1).tobytes()
         columns = [batch.column(0).cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), pa.array(map(short_key, keys), pa.int64()), pa.array([often] + [None] * (len(sets) - 1), pa.binary())]
         return pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "key", "short", "often"])
 
@@ -209,46 +306,43 @@ def common_shingles(sets: DataFrame) -> np.ndarray:
 BLOCKS = "block long, signs binary, owner binary, names binary, pairs binary"
 
 
-def dealt(sets: Iterator[tuple[int, np.ndarray]], blocks: int) -> Iterator[pa.RecordBatch]:
-    """The signatures of (name, signatures), dealt by hash range: block, signs (40 bits, low four bytes first, then the fifth ones), owner, names, and pairs of names that hang together already.
+def dealt(sets: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]], blocks: int) -> Iterator[pa.RecordBatch]:
+    """The signatures of (names, signatures, the number of each one's name), dealt by hash range: block, signs (40 bits, low four bytes first, then the fifth ones), owner, names, and pairs of names that hang together already.
 
     A task sends a signature once, however many of its sets have it; those hang
-    together, which ``pairs`` say. With 40 bits inside a block, chance makes about one
-    signature in a million coincide with another, which costs time but no link. So a group
+    together, which ``pairs`` say. With 40 bits (20 to 59), chance makes about one
+    signature in a hundred thousand coincide with another, which costs time but no link. So a group
     of near copies that fills a third of the rows is one entry a task.
     """
 
-    def flush(parts: list[np.ndarray], names: list[int]) -> Iterator[pa.RecordBatch]:
-        if not names:
-            return
-        named = np.array(names, np.int64)
-        owner = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
-        label, signs, owner = together(np.concatenate(parts), owner, len(parts))
+    def flush(named: np.ndarray, signs: np.ndarray, owner: np.ndarray) -> Iterator[pa.RecordBatch]:
+        label, signs, owner = together(signs, owner, len(named))
         rows = []
         block = ((signs >> np.uint64(32)) * np.uint64(blocks)) >> np.uint64(32)
         ends = np.searchsorted(block, np.arange(blocks + 1, dtype=np.uint64))
         moved = np.flatnonzero(label != np.arange(len(label)))
         to = named[label[moved]] % blocks
+        moved = moved[np.argsort(to, kind="stable")]
+        bounds = np.searchsorted(np.sort(to), np.arange(blocks + 1))
         for b in range(blocks):
-            mine = moved[to == b]
+            mine = moved[bounds[b] : bounds[b + 1]]
             pairs = np.stack([named[label[mine]], named[mine]], 1)
             if ends[b] < ends[b + 1] or len(pairs):
                 present, index = np.unique(owner[ends[b] : ends[b + 1]], return_inverse=True)
-                here = signs[ends[b] : ends[b + 1]]
+                here = signs[ends[b] : ends[b + 1]] >> np.uint64(20)
                 rows.append((b, here.astype(np.uint32).tobytes() + (here >> np.uint64(32)).astype(np.uint8).tobytes(), index.astype(np.uint16 if len(present) < 65536 else np.uint32).tobytes(), named[present].tobytes(), pairs.tobytes()))
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], ["block", "signs", "owner", "names", "pairs"])
 
-    parts, names, held = [], [], 0
-    for name, mine in sets:
-        if len(mine):
-            parts.append(mine)
-            names.append(name)
-            held += len(mine)
-        if held >= HELD:
-            yield from flush(parts, names)
-            parts, names, held = [], [], 0
-    yield from flush(parts, names)
+    parts, held, n = [], 0, 0
+    for names, signs, owner in sets:
+        parts.append((names, signs, owner + n))
+        held, n = held + len(signs), n + len(names)
+        if held >= HELD or n >= HELD // 4:
+            yield from flush(*map(np.concatenate, zip(*parts, strict=True)))
+            parts, held, n = [], 0, 0
+    if held:
+        yield from flush(*map(np.concatenate, zip(*parts, strict=True)))
 
 
 def signature_blocks(docs: DataFrame, width: int, percent: int, blocks: int, common: np.ndarray) -> DataFrame:
@@ -256,16 +350,21 @@ def signature_blocks(docs: DataFrame, width: int, percent: int, blocks: int, com
     last = docs.sparkSession.sparkContext.broadcast(common)  # at most COMMON numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def sets() -> Iterator[tuple[int, np.ndarray]]:
+        def sets() -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
             seen: set[int] = set()
             for batch in batches:
-                for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    s = shingles(text, width)
-                    if len(s) and doc_id is not None and (name := short_key(set_key(s))) not in seen:
-                        if len(seen) >= HELD // 8:
-                            seen.clear()
-                        seen.add(name)
-                        yield name, signatures(s, percent, last.value)
+                ids = iter(batch.column(0).to_pylist())
+                for texts in in_chunks(batch.column(1)):
+                    flat, sizes = shingle_sets(texts, width)
+                    end, new = np.cumsum(sizes).tolist(), np.zeros(len(sizes), bool)
+                    names = np.zeros(len(sizes), np.int64)
+                    for k, (n, doc_id) in enumerate(zip(sizes.tolist(), ids)):  # noqa: B905  the ids of all chunks
+                        if n and doc_id is not None and (name := short_key(set_key(flat[end[k] - n : end[k]]))) not in seen:
+                            if len(seen) >= HELD // 8:
+                                seen.clear()
+                            seen.add(name)
+                            names[k], new[k] = name, True
+                    yield names[new], *set_signatures(flat[np.repeat(new, sizes)], sizes[new], percent, last.value)
 
         yield from dealt(sets(), blocks)
 
@@ -274,19 +373,18 @@ def signature_blocks(docs: DataFrame, width: int, percent: int, blocks: int, com
 
 def _bound(parts: pd.DataFrame) -> pd.DataFrame:
     """Edges that span the sets which hang together by a block's signatures and pairs."""
-    signs, names, pairs = [], [], []
-    for p in parts.itertuples():
-        k = np.frombuffer(p.names, np.int64)
+    names, pairs = [np.frombuffer(x, np.int64) for x in parts["names"]], np.frombuffer(b"".join(parts["pairs"]), np.int64)
+    known = np.unique(np.concatenate([*names, pairs]))
+    signs, owner = [], []
+    for p, k in zip(parts.itertuples(), names, strict=True):
         count = len(p.signs) // 5
         signs.append(np.frombuffer(p.signs, np.uint32, count) | np.frombuffer(p.signs, np.uint8, offset=4 * count).astype(np.uint64) << np.uint64(32))
-        names.append(k[np.frombuffer(p.owner, np.uint16 if len(k) < 65536 else np.uint32)])
-        pairs.append(np.frombuffer(p.pairs, np.int64).reshape(-1, 2))
-    s, n, p = np.concatenate(signs), np.concatenate(names), np.concatenate(pairs)
-    known, index = np.unique(np.concatenate([n, p.ravel()]), return_inverse=True)
+        owner.append(np.searchsorted(known, k)[np.frombuffer(p.owner, np.uint16 if len(k) < 65536 else np.uint32)])
+    s, owner, index = np.concatenate(signs), np.concatenate(owner), np.searchsorted(known, pairs)
     order = np.argsort(s, kind="stable")
-    s, owner = s[order], index[: len(n)][order]
+    s, owner = s[order], owner[order]
     same = s[1:] == s[:-1]
-    a, b = np.concatenate([owner[:-1][same], index[len(n) :: 2]]), np.concatenate([owner[1:][same], index[len(n) + 1 :: 2]])
+    a, b = np.concatenate([owner[:-1][same], index[::2]]), np.concatenate([owner[1:][same], index[1::2]])
     label = hanging(len(known), a, b)
     moved = np.flatnonzero(label != np.arange(len(label)))
     return pd.DataFrame({"a": known[label[moved]], "b": known[moved]})
@@ -361,11 +459,12 @@ def parted_again(members: DataFrame, percent: int, leaf: int) -> DataFrame:
         blocks, seed = block_count(total // 8, percent), np.uint64(round_ * 0xD1B54A32D192ED03 & (1 << 64) - 1)
 
         def run(batches: Iterator[pa.RecordBatch], blocks: int = blocks, seed: np.uint64 = seed) -> Iterator[pa.RecordBatch]:
-            def sets() -> Iterator[tuple[int, np.ndarray]]:
+            def sets() -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
                 for batch in batches:
                     for rep, mark, tokens in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                         own = np.sort(_mixed(np.frombuffer(tokens, np.uint64) ^ seed))
-                        yield rep, _mixed(signatures(own, percent) ^ np.uint64(mark & (1 << 64) - 1))
+                        signs = _mixed(signatures(own, percent) ^ np.uint64(mark & (1 << 64) - 1))
+                        yield np.array([rep]), signs, np.zeros(len(signs), np.int64)
 
             yield from dealt(sets(), blocks)
 
@@ -490,10 +589,11 @@ class RegionJoin:
     def parted(self, members: np.ndarray) -> list[np.ndarray]:
         """The members that hang together by signatures under a hash of their own."""
         seed = np.uint64(self.fresh * 0xD1B54A32D192ED03 & (1 << 64) - 1)
-        signs = [signatures(np.sort(_mixed(self.sets.of(i) ^ seed)), self.percent) for i in members.tolist()]
-        if not sum(map(len, signs)):
+        own = [np.sort(_mixed(self.sets.of(i) ^ seed)) for i in members.tolist()]
+        signs, owner = set_signatures(np.concatenate(own), np.array(list(map(len, own))), self.percent)
+        if not len(signs):
             return [members[i : i + 1] for i in range(len(members))]
-        label, _, _ = together(np.concatenate(signs), np.repeat(np.arange(len(signs)), [len(s) for s in signs]), len(members))
+        label, _, _ = together(signs, owner, len(members))
         return [members[label == x] for x in np.unique(label)]
 
     def choose(self, members: np.ndarray, roots: np.ndarray) -> np.ndarray:
@@ -700,8 +800,7 @@ def ngram_jaccard_join(docs: DataFrame, width: int = 5, percent: int = 80, leaf:
 
     def tokens(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows = []
-        for rep, key, n, region, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            s = shingles(text, width)
+        for rep, key, n, region, s in zip(*(batch.column(i).to_pylist() for i in range(4)), sets_of(batch.column(4), width), strict=True):
             if set_key(s) == key:
                 rows.append((region, rep, n, False, s.tobytes()))
         kinds = [pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.binary()]

@@ -85,6 +85,20 @@ def test_linked_sets_share_a_signature(percent):
     assert met > 1000
 
 
+def test_sets_made_together_equal_sets_made_alone():
+    rnd, ends = random.Random(12), " \t\n\x0b\x0c\r"
+    texts = [None, b"", b" ", b"one", b" A\nb ", b"y" * 3000, b"a " * 90, "é\xa0x \x1c \x85".encode()]
+    texts += ["".join(rnd.choice(("ab", "Ab", "é", "long" * rnd.randint(1, 12), rnd.choice(ends))) for _ in range(rnd.randint(0, 400))).encode() for _ in range(300)]
+    flat, sizes = jaccard.shingle_sets(texts, 4)
+    for t, s in zip(texts, np.split(flat, np.cumsum(sizes)[:-1]), strict=True):
+        w = (t or b"").lower().split()
+        assert len(s) == len({tuple(w[i : i + 4]) for i in range(max(1, len(w) - 3))} if w else ())
+        assert (jaccard.shingle_sets([b" ".join(w)], 4)[0] == s).all()
+    signs, owner = jaccard.set_signatures(flat, sizes, 85)
+    for k, s in enumerate(np.split(flat, np.cumsum(sizes)[:-1])):
+        assert sorted(signs[owner == k].tolist()) == sorted(jaccard.signatures(s, 85).tolist())
+
+
 def test_regions_are_joined_by_voronoi_cells():
     rnd, cells = random.Random(9), 0
     for _ in range(150):
