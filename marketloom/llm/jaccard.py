@@ -34,8 +34,8 @@ from .common import BLANKS, arrow_map, discard, materialize, table
 LEAF_BYTES, PIVOTS, FEW = 32 << 20, 24, 8
 #: Signatures that one task groups, that a writing task holds at once, and groups at least.
 BLOCK, HELD, LEAST_BLOCKS = 2_000_000, 2_000_000, 32
-#: Sets of a batch that hold a shingle for it to be counted; shingles that are sent last, 8 bytes each to every task.
-FREQUENT, COMMON = 4, 200_000
+#: Sets of a batch that hold a shingle for it to be sent last; bits of the map of such shingles, 16 MB to every task.
+FREQUENT, COMMON_BITS = 4, 27
 #: Bytes of texts whose sets are made together.
 CHUNK = 1 << 20
 #: Bytes of a word that are hashed eight by eight; longer words are hashed one by one.
@@ -188,8 +188,8 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 
 def signatures(tokens: np.ndarray, percent: int, common: np.ndarray | None = None) -> np.ndarray:
-    """The signatures of one set."""
-    return set_signatures(tokens, np.array([len(tokens)]), percent, common)[0]
+    """The signatures of one set; ``common`` shingles come last."""
+    return set_signatures(tokens, np.array([len(tokens)]), percent, None if common is None else np.isin(tokens, common))[0]
 
 
 def set_signatures(flat: np.ndarray, sizes: np.ndarray, percent: int, common: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -200,18 +200,18 @@ def set_signatures(flat: np.ndarray, sizes: np.ndarray, percent: int, common: np
     parts of one of the two are left. Sets with more poor parts than are to spare
     also send the first shingles in hash order, of which two linked sets share one.
 
-    Parts of ``common`` shingles only would hang together whatever quotes them. Let
-    these come last in an order of all parts: then a set needn't send its last
-    sure - 1, since the first of the shared ones isn't among them, for either set.
+    Parts of ``common`` shingles (a flag of each shingle) would hang together
+    whatever quotes them, and parts of few others what chance alone makes meet.
+    Let an order of all parts begin with those of most other shingles: then a set
+    needn't send its last sure - 1, since the first of the shared ones isn't among
+    them, for either set.
     """
     if not len(flat):
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     out, owners = [], []
     start, end, high = np.cumsum(sizes) - sizes, np.cumsum(sizes), flat >> np.uint64(32)
     sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_mixed(flat))))
-    usual = None
-    if common is not None and len(common):
-        usual = np.concatenate(([0], np.cumsum(common[np.minimum(np.searchsorted(common, flat), len(common) - 1)] == flat)))
+    others = np.concatenate(([0], np.cumsum(np.ones(len(flat), bool) if common is None else ~common)))
     first, differs, all_parts, riches = tags_of(percent).table(sizes)
     for number in (first, first + 1):
         differ, parts, base = differs[number], all_parts[number], np.cumsum(all_parts[number]) - all_parts[number]
@@ -225,12 +225,12 @@ def set_signatures(flat: np.ndarray, sizes: np.ndarray, percent: int, common: np
         begin, finish, owner = begin[rich], finish[rich], owner[rich]
         signs = (sums[finish] - sums[begin]) ^ _mixed(cell[begin] + name[owner])
         sure = np.bincount(owner, minlength=len(sizes)) - differ
-        if usual is not None:
-            last = np.flatnonzero((usual[finish] - usual[begin] == finish - begin) & (sure[owner] > 1))
-            last = last[np.lexsort((~signs[last], owner[last]))]
-            of = owner[last]
-            last = last[np.arange(len(of)) - np.searchsorted(of, of) < sure[of] - 1]
-            signs, owner = np.delete(signs, last), np.delete(owner, last)
+        may = np.flatnonzero(sure[owner] > 1)
+        few = np.minimum(others[finish[may]] - others[begin[may]], 255).astype(np.uint64)
+        by = np.lexsort((few << np.uint64(56) | signs[may] >> np.uint64(8), owner[may]))
+        may, of = may[by], owner[may]
+        last = may[np.arange(len(of)) - np.searchsorted(of, of) < sure[of] - 1]
+        signs, owner = np.delete(signs, last), np.delete(owner, last)
         out.append(signs)
         owners.append(owner)
         if len(poor := np.flatnonzero(live & (sure < 1))):
@@ -275,15 +275,13 @@ def spanning(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def set_table(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, n_shingles, key (a digest of the set) and short (64 bits of it) of every row; and in one row of a batch ``often``, shingles of FREQUENT and more of its sets, with their counts."""
+    """doc_id, n_shingles, key (a digest of the set) and short (64 bits of it) of every row; and in one row of a batch ``often``, shingles of FREQUENT and more of its sets."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = list(sets_of(batch.column(1), width))
         keys = [set_key(s) for s in sets]
         held = np.sort(np.concatenate(list(dict(zip(keys, sets, strict=True)).values())))
-        found = np.unique(held[FREQUENT - 1 :][held[FREQUENT - 1 :] == held[: len(held) - FREQUENT + 1]])
-        count = np.searchsorted(held, found, "right") - np.searchsorted(held, found)
-        often = np.stack([found, count.astype(np.uint64)], 1).tobytes()
+        often = np.unique(held[FREQUENT - 1 :][held[FREQUENT - 1 :] == held[: max(0, len(held) - FREQUENT + 1)]]).tobytes()
         columns = [batch.column(0).cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), pa.array(map(short_key, keys), pa.int64()), pa.array([often] + [None] * (len(sets) - 1), pa.binary())]
         return pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "key", "short", "often"])
 
@@ -291,16 +289,23 @@ def set_table(docs: DataFrame, width: int) -> DataFrame:
 
 
 def common_shingles(sets: DataFrame) -> np.ndarray:
-    """The COMMON shingles that most sets of all batches hold, in order. They decide what is sent last, so they change time, not links."""
+    """The shingles that a batch has often, as a map of 2**COMMON_BITS bits by their upper bits. They decide what is sent last, so they change time, not links; nor does it matter that some share a bit."""
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for often in batch.column(0).to_pylist():
-            pairs = np.frombuffer(often, np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["shingle", "n"])
+            places = np.frombuffer(often, np.uint64) >> np.uint64(64 - COMMON_BITS)
+            yield pa.RecordBatch.from_arrays([pa.array((places >> np.uint64(6)).astype(np.int64)), pa.array((np.uint64(1) << (places & np.uint64(63))).view(np.int64))], ["word", "bits"])
 
-    counted = arrow_map(sets.where("often IS NOT NULL").select("often"), run, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
-    top = counted.orderBy(F.desc("n"), "shingle").limit(COMMON).select("shingle").toArrow().column(0).to_numpy()
-    return np.sort(top.view(np.uint64))
+    found = arrow_map(sets.where("often IS NOT NULL").select("often"), run, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    out = np.zeros(1 << COMMON_BITS - 6, np.uint64)
+    out[found.column("word").to_numpy()] = found.column("bits").to_numpy().view(np.uint64)
+    return out
+
+
+def in_map(bits: np.ndarray, flat: np.ndarray) -> np.ndarray:
+    """Whether each shingle's bit is set."""
+    places = flat >> np.uint64(64 - COMMON_BITS)
+    return bits[places >> np.uint64(6)] >> (places & np.uint64(63)) & np.uint64(1) != 0
 
 
 BLOCKS = "block long, signs binary, owner binary, names binary, pairs binary"
@@ -347,7 +352,7 @@ def dealt(sets: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]], blocks: int
 
 def signature_blocks(docs: DataFrame, width: int, percent: int, blocks: int, common: np.ndarray) -> DataFrame:
     """The signatures of the documents' sets under their short keys; of the sets that a task has met lately, each once."""
-    last = docs.sparkSession.sparkContext.broadcast(common)  # at most COMMON numbers
+    last = docs.sparkSession.sparkContext.broadcast(common)  # 2**COMMON_BITS bits
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def sets() -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -364,7 +369,8 @@ def signature_blocks(docs: DataFrame, width: int, percent: int, blocks: int, com
                                 seen.clear()
                             seen.add(name)
                             names[k], new[k] = name, True
-                    yield names[new], *set_signatures(flat[np.repeat(new, sizes)], sizes[new], percent, last.value)
+                    flat, sizes = flat[np.repeat(new, sizes)], sizes[new]
+                    yield names[new], *set_signatures(flat, sizes, percent, in_map(last.value, flat))
 
         yield from dealt(sets(), blocks)
 

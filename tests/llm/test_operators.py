@@ -85,6 +85,23 @@ def test_linked_sets_share_a_signature(percent):
     assert met > 1000
 
 
+def test_chance_hangs_few_sets_together():
+    rng = np.random.default_rng(4)
+    pool, top = rng.integers(1, (1 << 64) - 1, 833, np.uint64), (1 << 64) - 1  # a shingle of it is in 24 sets, too few to be known as common
+    sets = [np.unique(np.concatenate([rng.choice(pool, 10, replace=False), rng.integers(1, top, 290, np.uint64)])) for _ in range(2000)]
+    signs = [jaccard.signatures(s, 80) for s in sets]
+    label, _, _ = jaccard.together(np.concatenate(signs), np.repeat(np.arange(len(sets)), list(map(len, signs))), len(sets))
+    assert np.bincount(label).max() < 200  # 1,082 when all parts were sent
+
+
+def test_every_frequent_shingle_counts_as_common(spark):
+    tokens = np.unique(np.random.default_rng(5).integers(1, (1 << 64) - 1, 250_000, np.uint64))
+    parts = spark.createDataFrame([(bytearray(x.tobytes()),) for x in np.array_split(tokens, 3)] + [(None,)], "often binary")
+    bits = jaccard.common_shingles(parts)
+    assert jaccard.in_map(bits, tokens).all() and bits.nbytes == 16 << 20
+    assert jaccard.in_map(bits, np.random.default_rng(6).integers(1, (1 << 64) - 1, 10_000, np.uint64)).mean() < 0.05
+
+
 def test_sets_made_together_equal_sets_made_alone():
     rnd, ends = random.Random(12), " \t\n\x0b\x0c\r"
     texts = [None, b"", b" ", b"one", b" A\nb ", b"y" * 3000, b"a " * 90, "é\xa0x \x1c \x85".encode()]
