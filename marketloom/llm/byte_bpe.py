@@ -12,6 +12,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+import struct
 from collections.abc import Iterator
 from heapq import heappop, heappush
 
@@ -19,10 +20,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import BoundedCache, arrow_map, table
+from .common import HalvedCache, arrow_map, table
 
 #: White space in which a space is no sure beginning of a pre-token.
 TANGLED = re.compile(r"\s \s|  ").search
+#: One bit each; a vocabulary of 2**20 ranks has no more words of 256 bits.
+BIT = [1 << k for k in range(4096)]
 
 
 def parse_ranks(body: bytes) -> dict[bytes, int]:
@@ -53,40 +56,62 @@ def encode_piece(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
             else:
                 buckets[rank] = [i]
                 g = rank >> 8
-                low[g] = low.get(g, 0) | 1 << (rank & 255)
-                top |= 1 << g
+                if g in low:
+                    low[g] |= BIT[rank & 255]
+                else:
+                    low[g] = BIT[rank & 255]
+                    top |= BIT[g]
     while top:
         g = (top & -top).bit_length() - 1
         word = low[g]
-        rank = g << 8 | (word & -word).bit_length() - 1
+        rest = word & (word - 1)
+        rank = g << 8 | (word ^ rest).bit_length() - 1
         bucket = buckets[rank]
-        i = heappop(bucket)
-        if not bucket:
+        if len(bucket) > 1:
+            i = heappop(bucket)
+        else:
+            i = bucket[0]
             del buckets[rank]
-            low[g] = word = word & (word - 1)
-            if not word:
+            if rest:
+                low[g] = rest
+            else:
+                del low[g]
                 top &= top - 1
         if pair[i] != rank:
             continue  # stale: the pair was merged or has grown since
         gone = after[i]
         pair[gone] = -1
         after[i] = end = after[gone]
-        pair[i] = right = get(piece[i : after[end]], -1) if end < n else -1
         if end < n:
             before[end] = i
-        left, last = -1, before[i]
+            pair[i] = rank = get(piece[i : after[end]], -1)
+            if rank >= 0:
+                if rank in buckets:
+                    heappush(buckets[rank], i)
+                else:
+                    buckets[rank] = [i]
+                    g = rank >> 8
+                    if g in low:
+                        low[g] |= BIT[rank & 255]
+                    else:
+                        low[g] = BIT[rank & 255]
+                        top |= BIT[g]
+        else:
+            pair[i] = -1
+        last = before[i]
         if last >= 0:
-            left = get(piece[last:end], -1)
-            pair[last] = left
-        for rank, at in ((right, i), (left, last)):
+            pair[last] = rank = get(piece[last:end], -1)
             if rank >= 0:
                 if rank in buckets:
-                    heappush(buckets[rank], at)
+                    heappush(buckets[rank], last)
                 else:
-                    buckets[rank] = [at]
+                    buckets[rank] = [last]
                     g = rank >> 8
-                    low[g] = low.get(g, 0) | 1 << (rank & 255)
-                    top |= 1 << g
+                    if g in low:
+                        low[g] |= BIT[rank & 255]
+                    else:
+                        low[g] = BIT[rank & 255]
+                        top |= BIT[g]
     out, i = [], 0
     while i < n:
         out.append(ranks[piece[i : after[i]]])
@@ -94,18 +119,22 @@ def encode_piece(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
+def pack_ids(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class Codec:
     """Encodes and decodes texts; ``pattern`` splits a text into pre-tokens, which are merged separately."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, limit: int = 400_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, limit: int = 800_000):
         import regex
 
         self.find = regex.compile(pattern).findall
         self.tokens: list[bytes] = [b""] * (max(ranks.values(), default=-1) + 1)
         for token, rank in ranks.items():
             self.tokens[rank] = token
-        self.pieces = BoundedCache(lambda piece: np.array(encode_piece(piece.encode(), ranks), "<u4").tobytes(), limit)
-        self.spaced = BoundedCache(lambda word: self.split_encode(" " + word), limit // 2)
+        self.pieces = HalvedCache(lambda piece: pack_ids(encode_piece(piece.encode(), ranks)), limit)
+        self.spaced = HalvedCache(lambda word: self.split_encode(" " + word), limit // 2)
 
     def split_encode(self, text: str) -> bytes:
         return b"".join(map(self.pieces.__getitem__, self.find(text)))

@@ -82,6 +82,24 @@ class BoundedCache(dict):
         return value
 
 
+class HalvedCache(BoundedCache):
+    """A memo of two halves: when the newer one is full it becomes the older, from which keys in use are taken over, so that filling it up forgets rare keys only."""
+
+    def __init__(self, make: Callable, limit: int):
+        super().__init__(make, limit)
+        self.older: dict = {}
+
+    def __missing__(self, key):
+        if 2 * len(self) >= self.limit:
+            self.older = dict(self)
+            self.clear()
+        value = self.older.get(key)
+        if value is None:
+            value = self.make(key)
+        self[key] = value
+        return value
+
+
 @lru_cache(maxsize=1)
 def word_digests() -> BoundedCache:
     """64-bit digests of words, one memo for all operators of a worker."""

@@ -165,6 +165,16 @@ def test_bpe_equals_the_library():
         assert mine.decode(packed) == t.encode()
 
 
+def test_bpe_memo_keeps_frequent_pieces(monkeypatch):
+    ranks = {bytes([b]): b for b in range(256)}
+    encoded, encode = [], byte_bpe.encode_piece
+    monkeypatch.setattr(byte_bpe, "encode_piece", lambda piece, r: encoded.append(piece) or encode(piece, r))
+    codec = byte_bpe.Codec(ranks, tokenizers.PATTERN, 20)
+    for k in range(200):
+        assert codec.decode(codec.encode(f"often rare{'x' * k}")) == f"often rare{'x' * k}".encode()
+    assert encoded.count(b"often") == 1 and len(codec.pieces) + len(codec.pieces.older) <= 20
+
+
 def test_bpe_over_a_table(spark):
     ranks = byte_bpe.parse_ranks(open(tokenizers.path("byte_bpe_50k.tiktoken"), "rb").read())
     library = tiktoken.Encoding("own", pat_str=tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
