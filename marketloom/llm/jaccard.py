@@ -411,7 +411,8 @@ def forest(edges: DataFrame) -> DataFrame:
             moved = np.flatnonzero(label != np.arange(len(label)))
             yield pa.RecordBatch.from_arrays([pa.array(known[label[moved]]), pa.array(known[moved])], ["a", "b"])
 
-    return edges.select("a", "b").repartition(max(1, -(-edges.count() // EDGES)), "a").mapInArrow(run, "a long, b long")
+    tasks, edges = -(-edges.count() // EDGES), edges.select("a", "b")
+    return (edges.coalesce(1) if tasks < 2 else edges.repartition(tasks, "a")).mapInArrow(run, "a long, b long")
 
 
 def block_count(total: int, percent: int) -> int:
